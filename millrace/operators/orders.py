@@ -12,6 +12,10 @@ from millrace.operators.dims import settle_misses, with_provinces, with_users
 from millrace.operators.keyed import latest_per_key
 from millrace.schemas import ORDER_DETAIL, ORDER_WIDE
 
+#: Headers and lines are both unbounded, and Spark judges a side by its compressed
+#: files, before JSON is unfolded; so neither is ever broadcast to the other.
+_NO_BROADCAST = "merge"
+
 #: Columns both records have; the line's value wins in the wide record (F8).
 _SHARED = {"id", "create_time"}
 _LINE_ONLY = [c for c in ORDER_DETAIL.fieldNames() if c not in _SHARED]
@@ -68,7 +72,7 @@ def join_lines_on(
     """JN-6, JN-9: inner join on the order id and ``condition``; keeps ``extra`` columns."""
     same = F.col("header.id") == F.col("line.order_id")
     joined = headers.alias("header").join(
-        lines.alias("line"), same if condition is None else same & condition, "inner"
+        lines.alias("line").hint(_NO_BROADCAST), same if condition is None else same & condition, "inner"
     )
     return joined.select(*wide_columns(headers.columns, "header", "line"), *extra)
 
@@ -101,13 +105,13 @@ def full_outer(headers: DataFrame, lines: DataFrame) -> DataFrame:
     right = lines.select(
         F.col("id").alias("detail_id"), F.col("create_time").alias("detail_create_time"), *_LINE_ONLY
     )
-    matched = right.join(left, right["order_id"] == left["header_id"], "left")
+    matched = right.join(left.hint(_NO_BROADCAST), right["order_id"] == left["header_id"], "left")
     alone = left.join(_order_keys(lines), F.col("header_id") == F.col("_key"), "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def _order_keys(lines: DataFrame) -> DataFrame:
-    return lines.select(F.col("order_id").alias("_key")).distinct()
+    return lines.select(F.col("order_id").alias("_key")).distinct().hint(_NO_BROADCAST)
 
 
 def unmatched(headers: DataFrame, lines: DataFrame) -> DataFrame:
@@ -115,7 +119,7 @@ def unmatched(headers: DataFrame, lines: DataFrame) -> DataFrame:
     alone = headers.join(_order_keys(lines), F.col("id") == F.col("_key"), "left_anti").select(
         F.lit("header").alias("side"), F.col("id").alias("order_id"), F.lit(None).cast("bigint").alias("detail_id")
     )
-    keys = headers.select(F.col("id").alias("_key"))
+    keys = headers.select(F.col("id").alias("_key")).hint(_NO_BROADCAST)
     orphans = lines.join(keys, F.col("order_id") == F.col("_key"), "left_anti").select(
         F.lit("line").alias("side"), "order_id", F.col("id").alias("detail_id")
     )

@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.keyed import latest_per_key
+from millrace.session import settings
 from millrace.sources.tables import exists, sub_folders
 
 #: A restart without its checkpoint counts batches from zero again; versions of a
 #: later run must still be higher.
 VERSIONS_PER_RUN = 10**12
 
+_MERGE_SIZE = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+
 #: Folder name Spark gives rows without a day.
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
@@ -70,13 +73,14 @@ class KeyedTable:
         Days without changes since the last compaction are read as they are; only
         changed days are merged, which shuffles them by key.
         """
-        base = self._base(spark)
-        log = self._log(spark)
+        base, log = self._base(spark), self._log(spark)
         if log is None:
-            return base.drop("version")
-        changed = self._days(log)
-        still = base.where(~self._on_days(changed)).drop("version")
-        return still.unionByName(self._merged(base, log, changed))
+            return self._empty(spark) if base is None else base.drop("version")
+        if base is None:
+            return self._newest(log)
+        changed = self._on_days(self._days(log))
+        still = base.where(~changed).drop("version")
+        return still.unionByName(self._newest(base.where(changed).unionByName(log)))
 
     def read_field(self, spark: SparkSession, day: str, field: str) -> DataFrame:
         """SRC-8: one field of all rows of a day; empty if there are none; no cap (D4)."""
@@ -88,8 +92,10 @@ class KeyedTable:
         log = self._log(spark)
         if log is None:
             return None
-        rows = self._merged(self._base(spark), log, self._days(log))
-        self._write(rows, f"{self.path}/base/upto={upto}")
+        base = self._base(spark)
+        if base is not None:
+            log = base.where(self._on_days(self._days(log))).unionByName(log)
+        self._write(self._newest(log), f"{self.path}/base/upto={upto}")
         return upto
 
     def last_version(self, spark: SparkSession) -> int:
@@ -114,8 +120,8 @@ class KeyedTable:
             _number(n) for n in names if exists(spark, f"{self.path}/base/{n}/_SUCCESS")
         )
 
-    def _base(self, spark: SparkSession) -> DataFrame:
-        """Rows of the newest compaction of every day, chosen by folder name."""
+    def _base(self, spark: SparkSession) -> DataFrame | None:
+        """Rows of the newest compaction of every day, chosen by folder name, or ``None``."""
         stored = self._stored_schema()
         newest: dict[str, int] = {}
         for version in self._bases(spark):
@@ -123,7 +129,7 @@ class KeyedTable:
                 newest[folder] = version
         paths = [f"{self.path}/base/upto={v}/{folder}" for folder, v in sorted(newest.items())]
         if not paths:
-            return spark.createDataFrame([], stored).withColumn("version", F.lit(-1).cast("bigint"))
+            return None
         full = T.StructType([*stored.fields, T.StructField("upto", T.LongType())])
         rows = spark.read.schema(full).option("basePath", f"{self.path}/base").parquet(*paths)
         return rows.select(*stored.fieldNames(), F.col("upto").alias("version"))
@@ -154,9 +160,11 @@ class KeyedTable:
             tests.append(day.isNull())
         return reduce(or_, tests)
 
-    def _merged(self, base: DataFrame, log: DataFrame, days: list[str | None]) -> DataFrame:
-        rows = base.where(self._on_days(days)).unionByName(log)
-        return latest_per_key(rows, self.key_columns, ["version"]).drop("version")
+    def _newest(self, versions: DataFrame) -> DataFrame:
+        return latest_per_key(versions, self.key_columns, ["version"]).drop("version")
+
+    def _empty(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([], self._stored_schema())
 
     def _stored_schema(self) -> T.StructType:
         # The day is kept as text in folder names.
@@ -168,15 +176,17 @@ class KeyedTable:
         )
 
     def _write(self, rows: DataFrame, target: str) -> None:
-        # REBALANCE lets adaptive execution size the files of each day: large days
-        # are split over tasks, small ones share a task.
-        (
-            rows.hint("rebalance", F.col(self.day))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy(self.day)
-            .parquet(target)
-        )
+        # REBALANCE gathers each day, and splits days too large for one task.  Tasks
+        # are merged only down to a small size: merging saves no files, as
+        # days are files of their own, but would write their folders one by one.
+        with settings(rows.sparkSession, {_MERGE_SIZE: "16KB"}):
+            (
+                rows.hint("rebalance", F.col(self.day))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "static")
+                .partitionBy(self.day)
+                .parquet(target)
+            )
 
 
 def _number(folder: str) -> int:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.tables import is_folder
+from millrace.sources.tables import is_folder, spread
 
 #: Columns every stream is normalised to.  ``arrived`` is the record's append time
 #: (broker time stamp or file time), the clock of the 24 hour tolerance.
@@ -88,11 +88,13 @@ def read_table_stream(
     spark: SparkSession, path: str, *, max_files: int | None = None
 ) -> DataFrame:
     """A parquet table as a stream, with ``arrived``; its schema is read once."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    read = spark.read.parquet(path)
+    reader = spark.readStream.schema(read.schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if not is_folder(spark, path):
         # A file stream watches folders; a table of one file is picked by name.
         path, _, name = path.rpartition("/")
         reader = reader.option("pathGlobFilter", name)
-    return reader.parquet(path).withColumn("arrived", F.col("_metadata.file_modification_time"))
+    rows = reader.parquet(path).withColumn("arrived", F.col("_metadata.file_modification_time"))
+    return spread(rows, read)

@@ -10,7 +10,17 @@ from pyspark.sql import types as T
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table; zone-less timestamps become timestamps of the session zone."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return zoned(df)
+    return zoned(spread(df, df))
+
+
+def spread(df: DataFrame, read: DataFrame) -> DataFrame:
+    """``df`` over all cores when ``read``, its batch form, comes in fewer pieces than that.
+
+    Parsing costs far more than reading, and one small file would do it all in one
+    task.  A table with pieces for every core is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if read.rdd.getNumPartitions() < cores else df
 
 
 def zoned(df: DataFrame) -> DataFrame:
