@@ -14,6 +14,9 @@ from millrace.schemas import PROVINCE_DIM, USER_DIM
 
 ON_MISS = ("null", "drop", "error")
 
+#: Most keys of a micro-batch that are sent to a dimension: a few megabytes.
+MAX_USED_KEYS = 100_000
+
 
 def dim_table(current: DataFrame, name: str, schema: T.StructType) -> DataFrame:
     """SRC-6: one dimension as typed columns, from ``(dim, id, data)`` rows."""
@@ -76,6 +79,23 @@ def _lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
     return df.join(dim, F.col(key).cast("string") == F.col(dim_key), "left")
 
 
+def used_rows(dim: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """The rows of a dimension that some facts refer to.
+
+    For a micro-batch against a dimension of any size: while the batch uses no more
+    than ``MAX_USED_KEYS`` keys, they are broadcast to the dimension, which is then
+    scanned but not shuffled.  Beyond that the whole dimension is returned.
+
+    The keys are taken as values: Spark would not find held ``facts`` again on the
+    second side of one plan and would compute them, and their state, twice.
+    """
+    keys = facts.select(F.col(key).cast("string").alias("id")).where("id IS NOT NULL").distinct()
+    used = keys.limit(MAX_USED_KEYS + 1).collect()
+    if len(used) > MAX_USED_KEYS:
+        return dim
+    return dim.join(F.broadcast(facts.sparkSession.createDataFrame(used, keys.schema)), "id", "left_semi")
+
+
 def settle_misses(df: DataFrame, on_miss: str = "null") -> DataFrame:
     """D1: fold the miss flags into ``dim_miss`` and apply the miss policy."""
     if on_miss not in ON_MISS:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import as_of_date, date_part, hour_part, whole_years
-from millrace.functions.json import bind
+from millrace.functions.json import as_long, bind
 from millrace.operators import cdc, dau, keyed, logs, orders
 from millrace.operators.dims import miss_report, province_dim, user_dim
 from millrace.schemas import (
@@ -117,8 +117,6 @@ def log_page_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.functions.json import as_long
-
     events = table(spark, sf_dir, "events").select("event_id", "props")
     return events.select("event_id", as_long(F.get_json_object("props", "$.k")).alias("k"))
 

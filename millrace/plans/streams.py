@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.json import bind
-from millrace.operators import logs, orders
-from millrace.operators.dims import province_dim, user_dim
+from millrace.operators import logs
+from millrace.operators.dims import user_dim
 from millrace.plans import batch
-from millrace.schemas import DAU_WIDE, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, TOPIC_PAGE
+from millrace.schemas import DAU_WIDE, ORDER_WIDE, TOPIC_PAGE
 from millrace.session import ROCKSDB, settings, work_dir
 from millrace.sinks.topics import TopicSink
 from millrace.sources import samples
@@ -23,7 +22,19 @@ from millrace.streaming import jobs
 from millrace.streaming.jobs import Run
 
 ONCE = {"availableNow": True}
-_STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+
+
+def _state(spark: SparkSession) -> dict[str, str]:
+    """State settings: the partition count is fixed at the first start of a query.
+
+    A local session gets no more partitions than it has use for.
+    """
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    useful = 2 * spark.sparkContext.defaultParallelism
+    return {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(min(wanted, useful)),
+    }
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,10 +84,10 @@ def stream_change_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts_read.unionByName(dims_read)
 
 
-def _run_dau(spark: SparkSession, sf_dir: str, first: str) -> tuple[DataFrame, jobs.KeyedTable]:
+def _run_dau(spark: SparkSession, sf_dir: str, first: str) -> DataFrame:
     work = work_dir(spark, f"dau-{first}")
     table = jobs.dau_table(f"{work}/table")
-    with settings(spark, _STATE):
+    with settings(spark, _state(spark)):
         query = jobs.start_dau(
             _page_topic(spark, sf_dir),
             _dims(sf_dir),
@@ -88,12 +99,12 @@ def _run_dau(spark: SparkSession, sf_dir: str, first: str) -> tuple[DataFrame, j
             as_of=samples.AS_OF,
         )
         query.awaitTermination()
-    return table.read(spark), table
+    return table.read(spark)
 
 
 def stream_dau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job 3, first to arrive: which row wins is open, so only what its device fixes is shown."""
-    rows, _ = _run_dau(spark, sf_dir, "arrival")
+    rows = _run_dau(spark, sf_dir, "arrival")
     return rows.select(
         "dt",
         "mid",
@@ -110,7 +121,7 @@ def stream_dau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_dau_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job 3, earliest event: the whole record, equal to the batch result."""
-    rows, _ = _run_dau(spark, sf_dir, "event_time")
+    rows = _run_dau(spark, sf_dir, "event_time")
     return rows.select(*DAU_WIDE.fieldNames(), "dim_miss")
 
 
@@ -128,7 +139,7 @@ def _run_order_wide(spark: SparkSession, sf_dir: str, cached: bool, salts: int)
     table = jobs.order_table(f"{work}/table")
     raw_headers = samples.order_headers_json(_stream(spark, sf_dir, "orders"), keep=("arrived",))
     raw_lines = samples.order_lines_json(_stream(spark, sf_dir, "lineitem"), keep=("arrived",))
-    with settings(spark, _STATE):
+    with settings(spark, _state(spark)):
         query = jobs.start_order_wide(
             raw_headers,
             raw_lines,

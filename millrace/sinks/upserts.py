@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,17 +70,16 @@ class KeyedTable:
     def read(self, spark: SparkSession) -> DataFrame:
         """SNK-7..9: the newest row of every key; filters on the day prune folders.
 
-        Days without changes since the last compaction are read as they are; only
-        changed days are merged, which shuffles them by key.
+        Rows of the last compaction are kept unless the log has their key.  While the
+        log is small its keys are broadcast, by Spark's own check of their size, and
+        the base is not shuffled.
         """
         base, log = self._base(spark), self._log(spark)
         if log is None:
             return self._empty(spark) if base is None else base.drop("version")
         if base is None:
             return self._newest(log)
-        changed = self._on_days(self._days(log))
-        still = base.where(~changed).drop("version")
-        return still.unionByName(self._newest(base.where(changed).unionByName(log)))
+        return self._merged(base, log)
 
     def read_field(self, spark: SparkSession, day: str, field: str) -> DataFrame:
         """SRC-8: one field of all rows of a day; empty if there are none; no cap (D4)."""
@@ -93,9 +92,11 @@ class KeyedTable:
         if log is None:
             return None
         base = self._base(spark)
-        if base is not None:
-            log = base.where(self._on_days(self._days(log))).unionByName(log)
-        self._write(self._newest(log), f"{self.path}/base/upto={upto}")
+        if base is None:
+            rows = self._newest(log)
+        else:
+            rows = self._merged(base.where(self._on_days(self._days(log))), log)
+        self._write(rows, f"{self.path}/base/upto={upto}")
         return upto
 
     def last_version(self, spark: SparkSession) -> int:
@@ -163,6 +164,12 @@ class KeyedTable:
     def _newest(self, versions: DataFrame) -> DataFrame:
         return latest_per_key(versions, self.key_columns, ["version"]).drop("version")
 
+    def _merged(self, base: DataFrame, log: DataFrame) -> DataFrame:
+        newest = self._newest(log)
+        changed = newest.select(*[F.col(c).alias(f"_{c}") for c in self.key_columns])
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in self.key_columns])
+        return base.drop("version").join(changed, same, "left_anti").unionByName(newest)
+
     def _empty(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], self._stored_schema())
 

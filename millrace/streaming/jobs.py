@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.json import bind
 from millrace.operators import cdc, dau, logs, orders
-from millrace.operators.dims import province_dim, user_dim
+from millrace.operators.dims import province_dim, used_rows, user_dim
 from millrace.schemas import DAU_WIDE, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, PAGE_LOG, record
 from millrace.session import adaptive
 from millrace.sinks.topics import TopicSink, batch_to_topics, stream_to_topics
@@ -44,6 +44,8 @@ class Run:
     checkpoint: str
     trigger: dict | None = None
     name: str | None = None
+    #: Batches between compactions of the job's table; 0 leaves them to the operator.
+    compact_every: int = 200
 
     def start(self, writer) -> StreamingQuery:
         """ST-3, ST-8..12: offsets, state and progress live in the checkpoint."""
@@ -52,6 +54,39 @@ class Run:
             writer = writer.queryName(self.name)
         return writer.trigger(**(self.trigger or EVERY_5_SECONDS)).start()
 
+    def store(self, table: KeyedTable, rows: DataFrame, generation: int, batch_id: int) -> None:
+        """ST-11: upsert a batch; writing the same batch again replaces it."""
+        table.upsert(rows, run_version(generation, batch_id))
+        if self.compact_every and (batch_id + 1) % self.compact_every == 0:
+            table.compact(rows.sparkSession)
+
+
+def _upsert_batches(
+    rows: DataFrame,
+    enrich: Callable[[DataFrame, DataFrame, DataFrame], DataFrame],
+    read_dims: Dims,
+    table: KeyedTable,
+    run: Run,
+    generation: int,
+    mode: str,
+) -> StreamingQuery:
+    """ST-7, SNK-7: look up live dimensions for every batch and upsert the result."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with adaptive(batch.sparkSession) as session:
+            # Held, as both its keys and its rows are used; its size is then known.
+            batch.persist()
+            try:
+                if batch.count() == 0:
+                    return
+                users, provinces = read_dims(session)
+                wide = enrich(batch, used_rows(users, batch, "user_id"), provinces)
+                run.store(table, wide, generation, batch_id)
+            finally:
+                batch.unpersist()
+
+    return run.start(rows.writeStream.outputMode(mode).foreachBatch(write))
+
 
 def dau_table(path: str) -> KeyedTable:
     """SNK-8: daily-active rows, one per device and day."""
@@ -105,7 +140,7 @@ def start_change_split(
             try:
                 version = run_version(generation, batch_id)
                 batch_to_topics(cdc.fact_records(changed, fact_names), sink, version)
-                dims.upsert(cdc.dim_changes(changed, dim_names, keep=("seq",)), version)
+                run.store(dims, cdc.dim_changes(changed, dim_names, keep=("seq",)), generation, batch_id)
             finally:
                 changed.unpersist()
 
@@ -147,13 +182,10 @@ def start_dau(
 
     firsts = firsts.observe("after", F.count(F.lit(1)).alias("n_rows"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        with adaptive(batch.sparkSession) as session:
-            users, provinces = read_dims(session)
-            wide = dau.enrich(batch, users, provinces, as_of=as_of, on_miss=on_miss)
-            table.upsert(wide, run_version(generation, batch_id))
+    def enrich(batch: DataFrame, users: DataFrame, provinces: DataFrame) -> DataFrame:
+        return dau.enrich(batch, users, provinces, as_of=as_of, on_miss=on_miss)
 
-    return run.start(firsts.writeStream.outputMode(mode).foreachBatch(write))
+    return _upsert_batches(firsts, enrich, read_dims, table, run, generation, mode)
 
 
 def start_order_wide(
@@ -183,13 +215,10 @@ def start_order_wide(
     else:
         joined = order_state.join_streams(headers, lines, tolerance=tolerance, salts=salts)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        with adaptive(batch.sparkSession) as session:
-            users, provinces = read_dims(session)
-            wide = orders.with_dims(batch, users, provinces, as_of=as_of, on_miss=on_miss)
-            table.upsert(wide, run_version(generation, batch_id))
+    def enrich(batch: DataFrame, users: DataFrame, provinces: DataFrame) -> DataFrame:
+        return orders.with_dims(batch, users, provinces, as_of=as_of, on_miss=on_miss)
 
-    return run.start(joined.writeStream.outputMode("append").foreachBatch(write))
+    return _upsert_batches(joined, enrich, read_dims, table, run, generation, "append")
 
 
 def drain(query: StreamingQuery, timeout: float = 600.0) -> None:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import as_of_date, date_part, day_of_millis, hour_of_millis, hour_part, whole_years
-from millrace.operators.dims import miss_report, settle_misses, with_provinces, with_users
+from millrace.operators import dims
+from millrace.operators.dims import miss_report, settle_misses, used_rows, with_provinces, with_users
 
 
 @pytest.mark.parametrize(
@@ -75,3 +76,18 @@ def test_miss_policies(tables):
 def test_miss_report(tables):
     rows = {(r.dim, r.id, r.n_rows) for r in miss_report(*tables).collect()}
     assert rows == {("USER_INFO", "2", 1), ("USER_INFO", None, 1), ("BASE_PROVINCE", "99", 1)}
+
+
+def test_used_rows_change_no_lookup(tables):
+    facts, users, provinces = tables
+    more = users.unionAll(users.select(F.lit("55").alias("id"), "gender", "birthday"))
+    assert [r.id for r in used_rows(more, facts, "user_id").collect()] == ["1"]
+    full = joined(facts, more, provinces).collect()
+    assert sorted(map(str, joined(facts, used_rows(more, facts, "user_id"), provinces).collect())) == sorted(map(str, full))
+
+
+def test_too_many_used_keys_leave_the_dimension_whole(tables, monkeypatch):
+    facts, users, _ = tables
+    more = users.unionAll(users.select(F.lit("55").alias("id"), "gender", "birthday"))
+    monkeypatch.setattr(dims, "MAX_USED_KEYS", 1)
+    assert used_rows(more, facts, "user_id").count() == 2

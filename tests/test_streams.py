@@ -156,6 +156,15 @@ def test_dimensions_are_read_for_every_batch(spark, drop_files, tmp_path):
     assert {(r.mid, r.dim_miss) for r in table.read(spark).collect()} == {("a", True), ("b", False)}
 
 
+def test_table_is_compacted_on_the_way(spark, drop_files, tmp_path):
+    path = drop_files("in", *[[page("a", n * DAY), page(f"m{n}", n * DAY)] for n in range(4)])
+    table = jobs.dau_table(str(tmp_path / "c"))
+    run = Run(str(tmp_path / "c-cp"), ONCE, compact_every=3)
+    assert jobs.start_dau(source(spark, path), dims, table, run, as_of=AS_OF).awaitTermination(120)
+    assert [f.name for f in (tmp_path / "c" / "base").iterdir()] == ["upto=2"]
+    assert table.read(spark).count() == 8
+
+
 def test_unknown_choice_is_refused(spark, drop_files, tmp_path):
     with pytest.raises(ValueError):
         run_dau(spark, drop_files("in", [page("a", 0)]), tmp_path, "x", first="other")

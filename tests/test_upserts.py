@@ -124,3 +124,14 @@ def test_a_source_or_sink_needs_a_place(spark):
         read_topic(spark, TopicSource("t"))
     with pytest.raises(ValueError):
         batch_to_topics(spark.createDataFrame([("t", "v")], "topic string, value string"), TopicSink(), 0)
+
+
+def test_small_log_does_not_shuffle_the_base(spark, table):
+    table.upsert(rows(spark, *[("d1", f"k{i}", i) for i in range(100)]), 0)
+    table.compact(spark)
+    table.upsert(rows(spark, ("d1", "k5", -5)), 1)
+    read = table.read(spark)
+    text = read._jdf.queryExecution().executedPlan().toString()
+    # Only the log is gathered by key; the base meets its keys in a broadcast.
+    assert text.count("BroadcastHashJoin") == 1 and "LeftAnti" in text and "SortMergeJoin" not in text
+    assert read.count() == 100 and read.where("id = 'k5'").first().v == -5
