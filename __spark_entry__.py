@@ -263,10 +263,10 @@ def oracle_sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY strftime(make_timestamp(ts * 1000), '%Y-%m-%d'), mid
                                        ORDER BY ts, CAST(key AS BIGINT)) = 1""",
         "dau_bootstrap": f"""
-            WITH firsts AS ({_DAU_FIRST})
-            SELECT f.dt, f.mid, f.ts, f.page_id FROM firsts f
-            WHERE NOT EXISTS (SELECT 1 FROM firsts w
-                              WHERE w.dt = f.dt AND w.mid = f.mid AND CAST(w.user_id AS BIGINT) % 2 = 0)""",
+            SELECT f.dt, f.mid, f.ts, f.page_id FROM ({_DAU_FIRST}) f
+            WHERE NOT EXISTS (SELECT 1 FROM events e
+                              WHERE e.event_type = 'signup' AND strftime(e.ts, '%Y-%m-%d') = f.dt
+                                AND 'm' || CAST(e.user_id AS VARCHAR) = f.mid)""",
         "dau_wide": _DAU_WIDE,
         "dau_counters": f"""
             SELECT 'before' AS stage, count(*) AS n_rows FROM ({_PAGE_LOG}) WHERE last_page_id IS NULL
@@ -276,11 +276,11 @@ def oracle_sql() -> dict[str, str]:
         "dim_miss_report": """
             SELECT 'USER_INFO' AS dim, CAST(o_custkey AS VARCHAR) AS id, count(*) AS n_rows
             FROM orders
-            WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3)
+            WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)
             GROUP BY o_custkey
             UNION ALL
             SELECT 'BASE_PROVINCE', CAST(o_custkey % 25 AS VARCHAR), count(*) FROM orders
-            WHERE o_custkey % 25 NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (4, 7))
+            WHERE o_custkey % 25 NOT IN (SELECT r_regionkey FROM region)
             GROUP BY o_custkey % 25""",
         "order_header_bind": _HEADERS,
         "order_line_bind": _LINES,
@@ -294,7 +294,7 @@ def oracle_sql() -> dict[str, str]:
             FROM ({_HEADERS}) h FULL JOIN ({_LINES}) l ON h.id = l.order_id""",
         "order_wide": _ORDER_WIDE,
         "order_unmatched": f"""
-            WITH h AS (SELECT id FROM ({_HEADERS}) WHERE id % 50 <> 7), l AS ({_LINES})
+            WITH h AS ({_HEADERS}), l AS ({_LINES})
             SELECT 'header' AS side, h.id AS order_id, CAST(NULL AS BIGINT) AS detail_id
             FROM h WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.order_id = h.id)
             UNION ALL

@@ -30,13 +30,17 @@ def first_of_day(pages: DataFrame, tiebreak: list[Column | str]) -> DataFrame:
     return first_per_key(dated, ["dt", "mid"], ["ts", *tiebreak])
 
 
-def not_yet_written(pages: DataFrame, written: DataFrame) -> DataFrame:
+def not_yet_written(pages: DataFrame, written: DataFrame, *, unless_earlier: bool = False) -> DataFrame:
     """ST-3: drops devices already written for the day.
 
-    Apply it to rows that are unique per ``(dt, mid)``: then neither side has a
-    hot key.
+    With ``unless_earlier`` a row that precedes the written one stays.  Apply it to
+    rows that are unique per ``(dt, mid)``: then neither side has a hot key.
     """
-    return pages.join(written.select("dt", "mid"), ["dt", "mid"], "left_anti")
+    first = written.groupBy(F.col("dt").alias("_dt"), F.col("mid").alias("_mid")).agg(F.min("ts").alias("_ts"))
+    same = (F.col("dt") == F.col("_dt")) & (F.col("mid") == F.col("_mid"))
+    if unless_earlier:
+        same = same & (F.col("_ts") <= F.col("ts"))
+    return pages.join(first, same, "left_anti")
 
 
 def enrich(

@@ -183,10 +183,12 @@ def dau_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dau_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devices not yet written, when those of even users are."""
-    starts = dau.with_day(dau.session_starts(page_log(spark, sf_dir)))
-    written = starts.where(F.col("user_id").cast("bigint") % 2 == 0)
-    firsts = dau.first_of_day(starts, [F.col("key").cast("bigint")])
+    """First page views of devices that are not yet on record for the day.
+
+    On record are the devices of the start log.
+    """
+    firsts = dau_firsts(spark, sf_dir)
+    written = dau.with_day(logs.start_rows(flat_logs(spark, sf_dir)))
     return dau.not_yet_written(firsts, written).select("dt", "mid", "ts", "page_id")
 
 
@@ -201,10 +203,10 @@ def dim_user_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim_miss_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users and provinces that orders need, when some are missing."""
-    known_users = users(spark, sf_dir).where(F.col("id").cast("bigint") % 10 != 3)
-    known_provinces = provinces(spark, sf_dir).where(~F.col("id").isin("4", "7"))
-    return miss_report(headers(spark, sf_dir), known_users, known_provinces)
+    """Users and provinces of orders that smaller dimensions lack: suppliers and regions."""
+    few_users = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
+    few_provinces = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("id"))
+    return miss_report(headers(spark, sf_dir), few_users, few_provinces)
 
 
 # -- order wide --------------------------------------------------------------------
@@ -250,9 +252,8 @@ def order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers without lines, and lines without headers when some headers are missing."""
-    known = headers(spark, sf_dir).where(F.col("id") % 50 != 7)
-    return orders.unmatched(known, lines(spark, sf_dir))
+    """Headers without lines and lines without headers."""
+    return orders.unmatched(headers(spark, sf_dir), lines(spark, sf_dir))
 
 
 def order_wide_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,11 @@ from millrace.schemas import DAU_WIDE, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, PAG
 from millrace.session import adaptive
 from millrace.sinks.topics import TopicSink, batch_to_topics, stream_to_topics
 from millrace.sinks.upserts import KeyedTable, run_version
+from millrace.sources.tables import exists
 from millrace.streaming import dau as dau_state
 from millrace.streaming import orders as order_state
 
-#: ST-1: the reference clock of all jobs; ``{"availableNow": True}`` for backfills.
+#: ST-1: the clock of all jobs; ``{"availableNow": True}`` for backfills.
 EVERY_5_SECONDS = {"processingTime": "5 seconds"}
 
 #: Reads the current ``(users, provinces)``.
@@ -35,6 +36,7 @@ Dims = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
 TableLists = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
 
 _MISS = T.StructField("dim_miss", T.BooleanType())
+_SEED = record("mid string, ts bigint, dt string")
 
 
 @dataclass(frozen=True)
@@ -172,9 +174,6 @@ def start_dau(
     pages = pages.observe("before", F.count(F.lit(1)).alias("n_rows"), no_device)
     if first == "arrival":
         firsts, mode = dau_state.first_arrived(pages, delay=delay, salts=salts), "append"
-        if generation > 0:
-            # ST-3: restarted without its checkpoint; the table stands in for it.
-            firsts = dau.not_yet_written(dau.with_day(firsts), table.read(spark))
     elif first == "event_time":
         firsts, mode = dau_state.earliest(pages, list(tiebreak), delay=delay), "update"
     else:
@@ -182,12 +181,34 @@ def start_dau(
 
     firsts = firsts.observe("after", F.count(F.lit(1)).alias("n_rows"))
 
+    seed = _seed(spark, table, generation)
+
     def enrich(batch: DataFrame, users: DataFrame, provinces: DataFrame) -> DataFrame:
+        if seed:
+            dated = dau.with_day(batch)
+            days = [r[0] for r in dated.select("dt").distinct().collect()]
+            written = batch.sparkSession.read.schema(_SEED).parquet(seed).where(F.col("dt").isin(days))
+            batch = dau.not_yet_written(dated, written, unless_earlier=first == "event_time")
         return dau.enrich(batch, users, provinces, as_of=as_of, on_miss=on_miss)
 
     return _upsert_batches(firsts, enrich, read_dims, table, run, generation, mode)
 
 
+def _seed(spark: SparkSession, table: KeyedTable, generation: int) -> str | None:
+    """ST-3: devices written by earlier runs of a job that lost its checkpoint.
+
+    Noted once, when the new run begins.  The table itself will not do: it also
+    holds the run's own batches, and one that is written again would find itself.
+    """
+    if generation == 0:
+        return None
+    path = f"{table.path}/seed/run={generation}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        keys = table.read(spark).select(*_SEED.fieldNames())
+        keys.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("dt").parquet(path)
+    return path
+
+
 def start_order_wide(
     raw_headers: DataFrame,
     raw_lines: DataFrame,

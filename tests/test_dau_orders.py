@@ -35,11 +35,11 @@ def test_first_per_device_and_day(spark):
 
 def test_written_devices_are_left_out_for_their_day_only(spark):
     df = dau.with_day(pages(spark, ("a", None, 0, "p"), ("a", None, DAY, "p"), ("b", None, 0, "p")))
-    written = spark.createDataFrame([("1970-01-01", "a")], "dt string, mid string")
-    assert {(r.dt, r.mid) for r in dau.not_yet_written(df, written).collect()} == {
-        ("1970-01-02", "a"),
-        ("1970-01-01", "b"),
-    }
+    written = spark.createDataFrame([("1970-01-01", "a", 5)], "dt string, mid string, ts bigint")
+    rest = {("1970-01-02", "a"), ("1970-01-01", "b")}
+    assert {(r.dt, r.mid) for r in dau.not_yet_written(df, written).collect()} == rest
+    earlier = dau.not_yet_written(df, written, unless_earlier=True).collect()
+    assert {(r.dt, r.mid) for r in earlier} == rest | {("1970-01-01", "a")}
 
 
 def test_project_by_name_skips_what_is_missing(spark):

@@ -125,17 +125,31 @@ def test_restart_from_checkpoint_goes_on(spark, drop_files, tmp_path):
     assert query.recentProgress[0]["numInputRows"] == 2
 
 
+def restarted(spark, path, tmp_path, table, **options):
+    run = Run(str(tmp_path / "other-cp"), ONCE)
+    query = jobs.start_dau(source(spark, path), dims, table, run, as_of=AS_OF, **options)
+    assert query.awaitTermination(120)
+    return {(r.mid, r.page_id) for r in table.read(spark).collect()}
+
+
 def test_restart_without_checkpoint_is_seeded_from_the_table(spark, drop_files, tmp_path):
-    path = drop_files("in", [page("a", 0, "first")])
+    path = drop_files("in", [page("a", 2 * HOUR, "first")])
     table, _ = run_dau(spark, path, tmp_path, "s")
     drop_files("in", [page("a", HOUR, "second"), page("a", DAY, "next day"), page("b", HOUR, "b")])
-    query = jobs.start_dau(source(spark, path), dims, table, Run(str(tmp_path / "other-cp"), ONCE), as_of=AS_OF)
-    assert query.awaitTermination(120)
-    assert {(r.mid, r.page_id) for r in table.read(spark).collect()} == {
-        ("a", "first"),
-        ("a", "next day"),
-        ("b", "b"),
-    }
+    expected = {("a", "first"), ("a", "next day"), ("b", "b")}
+    assert restarted(spark, path, tmp_path, table) == expected
+    # The last batch is run again, as after a crash between writing and committing.
+    for n in (1, 2):
+        (tmp_path / "other-cp" / "commits" / str(n)).unlink(missing_ok=True)
+        (tmp_path / "other-cp" / "commits" / f".{n}.crc").unlink(missing_ok=True)
+    assert restarted(spark, path, tmp_path, table) == expected
+
+
+def test_seeded_restart_still_takes_earlier_rows(spark, drop_files, tmp_path):
+    path = drop_files("in", [page("a", 2 * HOUR, "late"), page("b", 2 * HOUR, "b")])
+    table, _ = run_dau(spark, path, tmp_path, "s", first="event_time")
+    path = drop_files("more", [page("a", HOUR, "early"), page("b", 3 * HOUR, "later b")])
+    assert restarted(spark, path, tmp_path, table, first="event_time") == {("a", "early"), ("b", "b")}
 
 
 def test_dimensions_are_read_for_every_batch(spark, drop_files, tmp_path):
