@@ -20,6 +20,7 @@ from millrace.sources import samples
 from millrace.sources.streams import TopicSource, read_table_stream, read_topic
 from millrace.streaming import jobs
 from millrace.streaming.jobs import Run
+from millrace.streaming.orders import SALTS
 
 ONCE = {"availableNow": True}
 
@@ -159,7 +160,7 @@ def _run_order_wide(spark: SparkSession, sf_dir: str, cached: bool, salts: int)
 
 def stream_order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job 4 on the built-in stream-stream join."""
-    return _run_order_wide(spark, sf_dir, cached=False, salts=8)
+    return _run_order_wide(spark, sf_dir, cached=False, salts=SALTS)
 
 
 def stream_order_wide_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
