@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans import batch, streams
 
+try:  # the training-data operators are an optional part
+    from millrace.llm import queries as llm
+except ImportError:
+    llm = None
+
 SAMPLE = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +76,8 @@ def queries() -> dict[str, Query]:
         streams.stream_order_wide,
         streams.stream_order_wide_cached,
     ]
-    return {query.__name__: _utc(query) for query in registered}
+    more = llm.queries() if llm else {}
+    return {query.__name__: _utc(query) for query in registered} | {name: _utc(query) for name, query in more.items()}
 
 
 # -- SQL ---------------------------------------------------------------------------
@@ -210,7 +216,7 @@ _DIM_LATEST = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return (llm.oracle_sql() if llm else {}) | {
         "log_error": """
             SELECT CAST(event_id AS VARCHAR) AS key, CAST(event_id % 100 AS VARCHAR) AS error_code,
                    'm' || CAST(user_id AS VARCHAR) AS mid, event_type AS page_id

@@ -18,10 +18,12 @@ def oracle():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    """But for those of the training-data operators, whose own tests check what SQL cannot state."""
+    own = set(contract.llm.queries()) if contract.llm else set()
+    assert set(contract.queries()) - own == set(contract.oracle_sql()) - own
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.oracle_sql()))
 def test_query_equals_sql(spark, oracle, name):
     assert differences(contract.queries()[name](spark, SF_DIR), oracle, contract.oracle_sql()[name]) is None
 
