@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, simple8b
+from millrace.llm import bpe, curriculum, simple8b, spherical, topk
 from millrace.llm.common import read
 from millrace.session import work_dir
 
@@ -21,6 +22,20 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.checksums(simple8b.read_shards(spark, path))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = curriculum.plan(read(spark, sf_dir, "documents"))
+    ordered = planned.orderBy("first_position", "doc_id")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode(read(spark, sf_dir, "documents"), vocabulary)
@@ -28,8 +43,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_token_shards, op10_bpe)}
+    return {q.__name__: q for q in (op4_token_shards, op6_embedding_dedup, op7_curriculum, op8_top_k, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_curriculum": curriculum.sql(), "op8_top_k": topk.sql(5, 50)}
