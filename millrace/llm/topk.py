@@ -122,9 +122,9 @@ def top_k(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
 def sql(k: int, every: int) -> str:
     return f"""
     WITH usable AS (
-        SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (
         SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
         FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0)
