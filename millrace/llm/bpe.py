@@ -26,7 +26,7 @@ from millrace.llm.common import row_slices, utf8
 from millrace.llm.pieces import SPECIAL, PieceCache, load_tokenizer
 
 NONE = np.int32(2**31 - 1)
-SLICE_ROWS, SLICE_BYTES = 4_000, 16_000_000
+SLICE_ROWS, SLICE_BYTES = 1_000, 4_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -160,9 +160,16 @@ class PairIndexBpe:
     def _text(self, symbols: str) -> str:
         return bytes(self._bytes[s] for s in symbols).decode("utf-8")
 
-    def tokens(self) -> list[str]:
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        return [self.tokenizer.id_to_token(i) for i in range(size)]
+
+def vocabulary_tokens(path: str) -> np.ndarray:
+    """The token of each id."""
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    ids = whole["model"]["vocab"] | {t["content"]: t["id"] for t in whole["added_tokens"]}
+    tokens = np.full(max(ids.values()) + 1, "", object)
+    for token, i in ids.items():
+        tokens[i] = token
+    return tokens
 
 
 _LOADED: dict[str, PairIndexBpe] = {}
@@ -203,7 +210,7 @@ def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFram
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.array(loaded(vocabulary).tokens(), object)
+        tokens = vocabulary_tokens(vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)

@@ -69,7 +69,7 @@ class PieceCache:
     """
 
     def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]],
-                 encode_odd: Callable[[str], np.ndarray], limit: int = 600_000):
+                 encode_odd: Callable[[str], np.ndarray], limit: int = 300_000):
         self.encode_words, self.encode_odd, self.limit = encode_words, encode_odd, limit
         self.clear()
 

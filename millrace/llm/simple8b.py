@@ -32,8 +32,8 @@ WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 SELECTORS = range(1, 15)
 
 BLOCK = 1024
-ROW_IDS_BYTES = 8_000_000
-SLICE_ROWS = 4_000
+ROW_IDS_BYTES = 4_000_000
+SLICE_ROWS = 1_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
