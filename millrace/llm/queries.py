@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, curriculum, simple8b, spherical, topk
+from millrace.llm import bpe, curriculum, secrets, simple8b, spherical, topk, url_filter
 from millrace.llm.common import read
 from millrace.session import work_dir
 
@@ -16,6 +16,13 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES, url_filter.train(spark))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "token-shards")
     simple8b.write_shards(read(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY), END_ID)
@@ -36,6 +43,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"), secrets.train(spark))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode(read(spark, sf_dir, "documents"), vocabulary)
@@ -43,7 +54,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_token_shards, op6_embedding_dedup, op7_curriculum, op8_top_k, op10_bpe)}
+    return {q.__name__: q for q in (
+        op2_url_filter, op4_token_shards, op6_embedding_dedup, op7_curriculum, op8_top_k, op9_secrets, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
