@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, curriculum, secrets, simple8b, spherical, topk, url_filter
+from millrace.llm import bpe, curriculum, html_main, partenum, secrets, simple8b, spherical, topk, url_filter
 from millrace.llm.common import read
 from millrace.session import work_dir
 
@@ -16,6 +16,10 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(read(spark, sf_dir, "pages"), html_main.train(spark))
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -23,6 +27,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES, url_filter.train(spark))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "token-shards")
     simple8b.write_shards(read(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY), END_ID)
@@ -55,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
-        op2_url_filter, op4_token_shards, op6_embedding_dedup, op7_curriculum, op8_top_k, op9_secrets, op10_bpe)}
+        op1_main_text, op2_url_filter, op3_ngram_join, op4_token_shards, op6_embedding_dedup, op7_curriculum, op8_top_k, op9_secrets, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
