@@ -225,10 +225,11 @@ def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFram
     return source.mapInArrow(run, f"key {kind}, ids array<int>, text string").withColumnRenamed("key", key)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of decoded documents."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of decoded documents, and ``more`` of their columns."""
     return decoded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, curriculum, html_main, partenum, secrets, simple8b, spherical, topk, url_filter
+from millrace.llm import bpe, curriculum, html_main, partenum, secrets, simple8b, spherical, topk, toxicity, url_filter
 from millrace.llm.common import read
 from millrace.session import work_dir
 
@@ -37,6 +37,16 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.checksums(simple8b.read_shards(spark, path))
 
 
+TOXIC_FROM = 0.3
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.judged(docs, read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -63,7 +73,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
-        op1_main_text, op2_url_filter, op3_ngram_join, op4_token_shards, op6_embedding_dedup, op7_curriculum, op8_top_k, op9_secrets, op10_bpe)}
+        op1_main_text, op2_url_filter, op3_ngram_join, op4_token_shards, op5_toxicity, op6_embedding_dedup, op7_curriculum, op8_top_k, op9_secrets, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

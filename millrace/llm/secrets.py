@@ -156,6 +156,7 @@ def redact(docs: DataFrame, model: PipelineModel) -> DataFrame:
         F.coalesce("_values", F.array().cast("array<string>")), F.col("_row.text"),
         lambda text, value: F.replace(text, value, F.lit(MASK)))
     clean = found.where(F.coalesce(F.size("found"), F.lit(0)) == 0).select(*docs.columns)
+    # Rows equal in all columns have one key, and the same secrets.
     mended = rows.join(secrets, "_key", "left").select(
         *[masked.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
     return clean.union(mended)
