@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.plans import batch, streams
 
 try:  # the training-data operators are an optional part
+    import corpus_pipeline
     from millrace.llm import queries as llm
 except ImportError:
-    llm = None
+    corpus_pipeline = llm = None
 
 SAMPLE = "/root/testdata/sf0.001"
 
@@ -76,7 +77,7 @@ def queries() -> dict[str, Query]:
         streams.stream_order_wide,
         streams.stream_order_wide_cached,
     ]
-    more = llm.queries() if llm else {}
+    more = llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {}
     return {query.__name__: _utc(query) for query in registered} | {name: _utc(query) for name, query in more.items()}
 
 
