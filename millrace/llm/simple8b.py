@@ -46,15 +46,8 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     where = np.arange(n, dtype=np.int32)
     stop = np.minimum((where // block + 1) * block, n).astype(np.int32)
     bits = np.frexp(ids.astype(np.float64))[1].astype(np.int8)  # one too many where rounded up: an escape at worst
-    choice = np.zeros(n, np.int8)  # densest selector that fits from here on
-    for s in reversed(SELECTORS):
-        wide = np.flatnonzero(bits > WIDTHS[s]).astype(np.int32)
-        if len(wide) == n:
-            break
-        nearest = np.repeat(np.append(wide, np.int32(n)), np.diff(np.concatenate([[-1], wide, [n - 1]])))
-        fits = np.minimum(nearest, stop)
-        # the last word of a block may be part-filled
-        choice[(fits >= where + COUNTS[s]) | ((fits == stop) & (fits > where))] = s
+    some = 64 * block  # whole blocks at a time, so that all stays in the processor's cache
+    choice = np.concatenate([_choices(bits[i:i + some], stop[i:i + some] - i) for i in range(0, n, some)])
     step = np.where(choice == 0, 1, COUNTS[choice])
     at = np.arange(blocks) * block
     taken: list[np.ndarray] = []
@@ -84,6 +77,23 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     return words, firsts
 
 
+def _choices(bits: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The densest selector that fits from each id on, 0 if none; ``stop`` is the end of its block."""
+    n, widest = len(bits), int(bits.max())
+    choice = np.zeros(n, np.int8)
+    for s in reversed(SELECTORS):
+        if widest <= WIDTHS[s]:  # all fit; the last word of a block may be part-filled
+            choice[:] = s
+            continue
+        narrow = np.flatnonzero(bits <= WIDTHS[s]).astype(np.int32)
+        if not len(narrow):
+            break
+        ends = np.flatnonzero(np.diff(narrow, append=n + 1) != 1)  # of runs of ids that fit
+        fits = np.minimum(np.repeat(narrow[ends] + 1, np.diff(ends, prepend=-1)), stop[narrow])
+        choice[narrow[(fits >= narrow + COUNTS[s]) | (fits == stop[narrow])]] = s
+    return choice
+
+
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
     """The ``n`` ids that ``pack`` was given."""
     out = np.zeros(n, np.uint64)
