@@ -5,15 +5,18 @@ every subset of one part is enumerated: a set's signature for a part is the hash
 has in it.  Sets that differ in fewer than P of their parts share a signature.  A set also
 enumerates the next band if a partner may be there.
 
-P follows from the band's smallest size.  Two sets of a union of u at similarity t differ in at most
-(1 - t) u shingles.  In small bands P exceeds that number, and a shared part is certain;
-in larger ones the chance that the differing shingles, which a hash deals out, touch every
-part is at most (1 - t ** (u / P)) ** P, and P is the least that holds it below ``MISS``.
+P follows from the band.  Two sets of a union of u at similarity t differ in at most (1 - t) u
+shingles, which the hash deals out; that a part has shingles and none of the differing has the chance
+q = exp(-(1 - t) u / P) - exp(-u / P), and P is the least for which (1 - q) ** P, the chance of no such
+part, is below ``MISS``, for the largest u of the band.  In bands too small for that each shingle is a part of its own, and a
+shared one is certain.
 
 Sets are compared as classes of equal sets.  Each signature's classes are first
 compared with one of them only; what that links needs no further comparison.  Then
-classes that share a signature but no component are compared.  All comparisons are of whole
-sets: no candidate is accepted by its signature.
+classes that share a signature but no component are compared, in blocks of bounded size.  Before whole
+sets are fetched, their parity maps are: bit h mod b of the sum of all shingles h.  Maps of two sets differ in no more
+bits than the sets do in shingles, so what is ruled out by them is ruled out for certain.
+All links are of whole sets: no candidate is accepted by its signature.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from millrace.llm.components import components
 WIDTH = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-MISS = 1e-9
+MISS = 1e-6
+BLOCK = 4_096
 RATIO = 2  # of a band's edges; at least 100 / PERCENT, so that partners are in one of two bands
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -48,14 +52,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @cache
 def band_parts(band: int, percent: int = PERCENT) -> int:
-    """Parts of the domain for sets of RATIO ** band shingles and more."""
+    """Parts of the domain for sets of RATIO ** band shingles and more; 0: each shingle is a part of its own."""
     t = percent / 100
     union = 2 * RATIO ** (band + 1) / (1 + t)  # of the largest two sets that just link
-    certain = math.floor((1 - t) * union) + 2
     parts = 2
-    while parts < certain and (1 - t ** (union / parts)) ** parts > MISS:
+    while parts < union:
+        untouched = math.exp((t - 1) * union / parts) - math.exp(-union / parts)  # and not empty
+        if (1 - untouched) ** parts <= MISS:
+            return parts
         parts += max(1, parts // 50)
-    return min(parts, certain)
+    return 0
 
 
 class Shingler:
@@ -103,6 +109,9 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for band in bands:
         parts = band_parts(band, percent)
         seed = np.uint64((band + 1) * int(M1) % 2**64)
+        if not parts:
+            out.append(mixed(shingles ^ seed))
+            continue
         part = (mixed(shingles + seed) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, mixed(shingles ^ seed))
@@ -111,8 +120,29 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity map of a set, of two to four bits for each shingle, as 64-bit words."""
+    bits = max(64, 1 << int(2 * len(shingles)).bit_length())
+    odd = np.bincount((mixed(shingles ^ M3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def apart(x: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """In how many bits the map ``x`` differs from each of ``many`` of one width; the wider is folded to the narrower."""
+    while len(x) > many.shape[1]:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while many.shape[1] > len(x):
+        many = many[:, :many.shape[1] // 2] ^ many[:, many.shape[1] // 2:]
+    return np.bitwise_count(many ^ x).sum(axis=1, dtype=np.int64)
+
+
+def most_apart(n, m):
+    """Shingles in which two linked sets of these sizes differ, at most."""
+    return (n + m) * (100 - PERCENT) // (100 + PERCENT)
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_key, sigs`` of every row; equal sets have equal keys."""
+    """``doc_id, n_shingles, set_key, sigs, bits`` of every row; equal sets have equal keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in row_slices(batches, 1_000, "text", 4_000_000):
@@ -121,10 +151,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 batch.column("doc_id"), pa.array(map(len, sets), pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([signatures(s) for s in sets], pa.list_(pa.int64())),
-            ], ["doc_id", "n_shingles", "set_key", "sigs"])
+                pa.array([parity(s).tobytes() for s in sets], pa.binary()),
+            ], ["doc_id", "n_shingles", "set_key", "sigs", "bits"])
 
     source = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), utf8(docs, "text").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, sigs array<bigint>")
+    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, sigs array<bigint>, bits binary")
 
 
 def _may_link(n: str, m: str) -> F.Column:
@@ -150,6 +181,74 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+def _near(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that their parity maps do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, n, m = (batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b"))
+            keep = [bool(apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)[None])[0] <= most_apart(i, j))
+                    for x, y, i, j in zip(left, right, n, m, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda side: maps.select(*[F.col(c).alias(f"{d}{side}") for c, d in (("rep", ""), ("n", "n_"), ("bits", "bits_"))])
+    joined = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "bits_a", "bits_b", "n_a", "n_b")
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of classes that share a signature but no component, unless their maps rule them out.
+
+    ``members`` has ``sig, k, rep, n, c, bits``, where k counts the classes of the signature.  Those of a signature are
+    dealt into blocks of about ``BLOCK``, and each two blocks meet in a task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        key = None
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "i", "j", "side", "rep", "n", "c", "bits")), strict=True):
+                if row[:3] != key:
+                    out += pairs_of(group)
+                    key, group = row[:3], []
+                group.append(row[3:])
+            yield frame(out)
+        yield frame(pairs_of(group))
+
+    def frame(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        unique = sorted(set(pairs))
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in unique], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
+        """Rows of one width of maps are compared at once; of one block (side 2) or of a left and a right block."""
+        found: list[tuple[int, int]] = []
+        by_width: dict[int, list[tuple]] = {}
+        for row in group:
+            if row[0] != 0:
+                by_width.setdefault(len(row[4]), []).append(row)
+        for rows in by_width.values():
+            reps, sizes, parts = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
+            maps = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+            for side, rep, n, c, bits in group:
+                if side == 1:
+                    continue
+                may = (parts != c) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * PERCENT)
+                if side == 2:
+                    may &= reps > rep
+                may = np.flatnonzero(may)
+                if len(may):
+                    near = may[apart(np.frombuffer(bits, np.uint64), maps[may]) <= most_apart(n, sizes[may])]
+                    found += [(min(rep, r), max(rep, r)) for r in reps[near].tolist()]
+        return found
+
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    dealt = members.withColumn("of", blocks).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda x: F.struct(
+        F.least("at", x).alias("i"), F.greatest("at", x).alias("j"),
+        F.when(F.col("at") == x, 2).when(F.col("at") < x, 0).otherwise(1).alias("side")))
+    tasks = dealt.select("sig", "rep", "n", "c", "bits", F.inline(meet)).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return tasks.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -160,28 +259,26 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     sets = stored(shingle_sets(docs), "shingle-sets")
     classes = (sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key")
-               .agg(F.min(F.struct("doc_id", "n_shingles", "sigs")).alias("c")))
+               .agg(F.min(F.struct("doc_id", "n_shingles", "sigs", "bits")).alias("c")))
     rows = classes.select(F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), F.explode("c.sigs").alias("sig"))
-    by_sig = _windowed(rows)
-    shared = stored(by_sig.where("first.rep <> last"), "shared-signatures")
-    texts = stored(
-        docs.select(docs["doc_id"].cast("bigint").alias("rep"), utf8(docs, "text").alias("text"))
-        .join(shared.select("rep").distinct(), "rep").dropDuplicates(["rep"]), "candidate-texts")
+    group = Window.partitionBy("sig")
+    shared = stored(rows.select(
+        "sig", "rep", "n", F.min(F.struct("rep", "n")).over(group).alias("first"), F.count(F.lit(1)).over(group).alias("k")).where("k > 1"),
+        "shared-signatures")
+    reps = stored(shared.groupBy("rep").agg(F.first("n").alias("n")), "candidates")
+    maps = stored(sets.select(F.col("doc_id").alias("rep"), "bits").join(reps, "rep").dropDuplicates(["rep"]), "parity-maps")
     stars = shared.where(F.col("rep") != F.col("first.rep")).where(_may_link("n", "first.n"))
-    checked = stored(_verify(stars.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), texts), "checked-stars")
-    links = checked.where("linked").select("a", "b")
+    stars = stored(_near(stars.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), maps), "stars")
+    links = _linked(docs, stars)
     joined = stored(components(links), "star-components")
 
     known = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         "sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed_sigs = known.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    left = known.join(mixed_sigs, "sig")
-    right = left.select("sig", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    across = (left.join(right, "sig").where("rep < rep2 AND c <> c2").where(_may_link("n", "n2"))
-              .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
-    more = stored(_verify(across.join(checked, ["a", "b"], "left_anti"), texts), "checked-rest")
-    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(
-        more.where("linked").select("a", "b")))
+    undecided = known.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high")
+    members = known.join(undecided.select("sig", "k"), "sig").join(maps.select("rep", "bits"), "rep")
+    across = stored(_across(members).join(stars, ["a", "b"], "left_anti"), "across")
+    more = _linked(docs, across)
+    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     members = classes.select("set_key", F.col("c.doc_id").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     members = members.select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "set_key").join(members, "set_key", "left")
@@ -189,7 +286,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _windowed(rows: DataFrame) -> DataFrame:
-    """``sig, rep, n`` with the first and the last class of the signature."""
-    group = Window.partitionBy("sig")
-    return rows.select("sig", "rep", "n", F.min(F.struct("rep", "n")).over(group).alias("first"), F.max("rep").over(group).alias("last"))
+def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that are links; only the texts they name are fetched."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = stored(docs.select(docs["doc_id"].cast("bigint").alias("rep"), utf8(docs, "text").alias("text"))
+                   .join(ids, "rep").dropDuplicates(["rep"]), "candidate-texts")
+    return stored(_verify(pairs, texts).where("linked").select("a", "b"), "links")
