@@ -32,6 +32,13 @@ def quantised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(256.0) * x.cast("double")))
 
 
+def _held(scores):
+    """Scores within the range of a long, as which they are ranked; only exact integers can be beyond it."""
+    if isinstance(scores, np.ndarray) and scores.dtype != object or isinstance(scores, np.floating):
+        return scores
+    return np.clip(scores, -LONG - 1, LONG)
+
+
 def threshold_search(ids: np.ndarray, table: np.ndarray, order: np.ndarray, query: np.ndarray, own: int, k: int):
     """Ids and scores of the k best rows of ``table`` for a query: highest score first, then smallest id.
 
@@ -55,11 +62,11 @@ def threshold_search(ids: np.ndarray, table: np.ndarray, order: np.ndarray, quer
         seen[met] = True
         met = met[ids[met] != own]
         best = np.concatenate([best, met])
-        scores = np.concatenate([scores, table[met] @ query])
+        scores = np.concatenate([scores, _held(table[met] @ query)])
         top = np.lexsort((ids[best], -scores))[:k]
         best, scores = best[top], scores[top]
         last = order[np.where(rising, depth - 1, n - depth), dims]
-        bound = (table[last, dims] * query[dims]).sum()
+        bound = _held((table[last, dims] * query[dims]).sum())
         if len(best) == k and bound < scores[-1]:
             break
         done, depth = depth, 2 * depth
@@ -84,7 +91,7 @@ def top_k(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
 
     Rows whose ``vec_id`` or ``embedding`` is null, or holds null or non-finite components, take no part.  Shorter
     vectors count as zeros in the dimensions they lack.  Rows that repeat a ``vec_id`` count once, as the one with the
-    smallest components.  Ties go to the smaller id; scores are held to the range of a long.
+    smallest components.  Ties go to the smaller id; scores are held to the range of a long and ranked so.
     """
     valid = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = valid.groupBy("vec_id").agg(F.min(quantised(F.col("embedding"))).alias("v"))
@@ -110,7 +117,7 @@ def top_k(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
                 found, scores = threshold_search(ids, table, order, query, query_id, k)
                 out[0] += [int(query_id)] * len(found)
                 out[1] += found.tolist()
-                out[2] += [max(-LONG - 1, min(LONG, int(s))) for s in scores]
+                out[2] += [int(s) for s in scores]
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     found = (candidates.groupBy("block", "batch").cogroup(queries.groupBy("block", "batch"))

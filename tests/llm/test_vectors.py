@@ -79,8 +79,9 @@ def best(rows, k, every):
     out = []
     for i, a in good.items():
         if i % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), j) for j, b in good.items() if j != i)
-            out += [(i, r, j, max(-2**63, min(2**63 - 1, -s))) for r, (s, j) in enumerate(scored[:k], 1)]
+            held = lambda b, a=a: max(-2**63, min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False))))
+            scored = sorted((-held(b), j) for j, b in good.items() if j != i)
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
