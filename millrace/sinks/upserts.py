@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.keyed import latest_per_key
 from millrace.session import settings
-from millrace.sources.tables import exists, sub_folders
+from millrace.sources.tables import exists, make_folder, sub_folders
 
 #: A restart without its checkpoint counts batches from zero again; versions of a
 #: later run must still be higher.
@@ -87,10 +87,11 @@ class KeyedTable:
 
     def compact(self, spark: SparkSession) -> int | None:
         """Fold the log into a new base of the days it touches; returns its version."""
-        upto = self.last_version(spark)
+        versions = self._versions(spark)
         log = self._log(spark)
         if log is None:
             return None
+        upto = max(map(_number, versions))
         base = self._base(spark)
         if base is None:
             rows = self._newest(log)
@@ -105,12 +106,28 @@ class KeyedTable:
         return max([-1, *log, *self._bases(spark)])
 
     def next_run(self, spark: SparkSession, checkpoint: str) -> int:
-        """The run a job belongs to: a new one unless its checkpoint is there."""
+        """The run a job belongs to: fixed at its first start, beside its checkpoint.
+
+        A job whose checkpoint is lost finds no note of its run and gets a new one, above
+        all that the table has versions or notes of; so does one that never wrote a batch.
+        """
+        noted = [_number(n) for n in sub_folders(spark, f"{checkpoint}/runs")]
+        if noted:
+            return max(noted)
         last = self.last_version(spark)
-        if last < 0:
-            return 0
-        run = last // VERSIONS_PER_RUN
-        return run if exists(spark, f"{checkpoint}/metadata") else run + 1
+        runs = [-1, *(_number(n) for n in sub_folders(spark, f"{self.path}/runs"))]
+        if last >= 0:
+            runs.append(last // VERSIONS_PER_RUN)
+        # A checkpoint without a note is of a job that began before there were any.
+        run = max(runs) if exists(spark, f"{checkpoint}/metadata") else max(runs) + 1
+        run = max(run, 0)
+        make_folder(spark, f"{self.path}/runs/run={run}")
+        make_folder(spark, f"{checkpoint}/runs/run={run}")
+        return run
+
+    def versions_since_base(self, spark: SparkSession) -> int:
+        """Finished batches that the last compaction does not hold."""
+        return len(self._versions(spark))
 
     # -- parts -----------------------------------------------------------------
 
@@ -135,10 +152,15 @@ class KeyedTable:
         rows = spark.read.schema(full).option("basePath", f"{self.path}/base").parquet(*paths)
         return rows.select(*stored.fieldNames(), F.col("upto").alias("version"))
 
+    def _versions(self, spark: SparkSession) -> list[str]:
+        """Folders of finished batches above the last compaction; a batch being written is not seen."""
+        base = max(self._bases(spark), default=-1)
+        newer = [n for n in sub_folders(spark, f"{self.path}/log") if _number(n) > base]
+        return [n for n in newer if exists(spark, f"{self.path}/log/{n}/_SUCCESS")]
+
     def _log(self, spark: SparkSession) -> DataFrame | None:
         """Rows newer than the last compaction, or ``None``; older folders are not listed."""
-        base = max(self._bases(spark), default=-1)
-        folders = [n for n in sub_folders(spark, f"{self.path}/log") if _number(n) > base]
+        folders = self._versions(spark)
         if not folders:
             return None
         stored = self._stored_schema()

@@ -44,6 +44,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(location)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, location = _locate(spark, path)
+    files.mkdirs(location)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     files, location = _locate(spark, path)
     return files.exists(location) and files.getFileStatus(location).isDirectory()
@@ -57,13 +62,6 @@ def sub_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(location) if s.isDirectory())
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A parquet folder with a known schema, empty when nothing was written yet."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
 def table_names(spark: SparkSession, names: list[str]) -> DataFrame:
     """A table list as the one-column frame the change split expects (SRC-7)."""
     return spark.createDataFrame([(n,) for n in names], "table_name string")

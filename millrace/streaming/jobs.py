@@ -59,7 +59,8 @@ class Run:
     def store(self, table: KeyedTable, rows: DataFrame, generation: int, batch_id: int) -> None:
         """ST-11: upsert a batch; writing the same batch again replaces it."""
         table.upsert(rows, run_version(generation, batch_id))
-        if self.compact_every and (batch_id + 1) % self.compact_every == 0:
+        # Batches without output leave no version, so versions are counted, not batches.
+        if self.compact_every and table.versions_since_base(rows.sparkSession) >= self.compact_every:
             table.compact(rows.sparkSession)
 
 

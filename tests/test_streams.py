@@ -179,6 +179,15 @@ def test_table_is_compacted_on_the_way(spark, drop_files, tmp_path):
     assert table.read(spark).count() == 8
 
 
+def test_batches_without_output_do_not_put_off_compaction(spark, drop_files, tmp_path):
+    files = [[page(f"m{n // 2}", n * DAY)] if n % 2 else [page("a", 0)] for n in range(6)]
+    table = jobs.dau_table(str(tmp_path / "e"))
+    run = Run(str(tmp_path / "e-cp"), ONCE, compact_every=2)
+    assert jobs.start_dau(source(spark, drop_files("in", *files)), dims, table, run, as_of=AS_OF).awaitTermination(120)
+    assert (tmp_path / "e" / "base").exists()
+    assert table.read(spark).count() == 4
+
+
 def test_unknown_choice_is_refused(spark, drop_files, tmp_path):
     with pytest.raises(ValueError):
         run_dau(spark, drop_files("in", [page("a", 0)]), tmp_path, "x", first="other")

@@ -70,10 +70,10 @@ def test_seq_orders_rows_of_one_batch(spark, tmp_path):
 
 
 def test_runs_without_checkpoint_get_higher_versions(spark, table, tmp_path):
-    lost = str(tmp_path / "no-checkpoint")
-    assert table.next_run(spark, lost) == 0
+    """A lost checkpoint is one whose folder, and the note of the run in it, is gone."""
+    assert table.next_run(spark, str(tmp_path / "first")) == 0
     table.upsert(rows(spark, ("d1", "a", 1)), run_version(0, 7))
-    assert table.next_run(spark, lost) == 1
+    assert table.next_run(spark, str(tmp_path / "second")) == 1
     table.upsert(rows(spark, ("d1", "a", 2)), run_version(1, 0))
     assert content(spark, table) == {("d1", "a", 2)}
     (tmp_path / "cp").mkdir()
@@ -81,6 +81,43 @@ def test_runs_without_checkpoint_get_higher_versions(spark, table, tmp_path):
     assert table.next_run(spark, str(tmp_path / "cp")) == 1
 
 
+def test_run_is_kept_over_restarts_without_output(spark, table, tmp_path):
+    """A new run whose first batches have no output, restarted: earlier batches stay."""
+    first, second = str(tmp_path / "cp0"), str(tmp_path / "cp1")
+    run = table.next_run(spark, first)
+    for batch, key in enumerate("abc"):
+        table.upsert(rows(spark, ("d1", key, 1)), run_version(run, batch))
+    assert table.next_run(spark, second) == 1
+    (tmp_path / "cp1" / "metadata").write_text("{}")  # batch 0 ran and wrote nothing
+    assert table.next_run(spark, second) == 1
+    table.upsert(rows(spark, ("d1", "new", 1)), run_version(table.next_run(spark, second), 1))
+    assert content(spark, table) == {("d1", k, 1) for k in ("a", "b", "c", "new")}
+    assert table.next_run(spark, first) == 0
+
+
+def test_new_rows_are_seen_after_a_compaction_and_a_restart(spark, table, tmp_path):
+    run = table.next_run(spark, str(tmp_path / "cp0"))
+    for batch, key in enumerate("abc"):
+        table.upsert(rows(spark, ("d1", key, 1)), run_version(run, batch))
+    table.compact(spark)
+    second = str(tmp_path / "cp1")
+    table.next_run(spark, second)
+    (tmp_path / "cp1" / "metadata").write_text("{}")
+    table.upsert(rows(spark, ("d1", "new", 1)), run_version(table.next_run(spark, second), 1))
+    assert content(spark, table) == {("d1", k, 1) for k in ("a", "b", "c", "new")}
+
+
+def test_batch_being_written_is_not_seen(spark, table, tmp_path):
+    table.upsert(rows(spark, ("d1", "a", 1)), 0)
+    table.upsert(rows(spark, ("d1", "b", 1)), 1)
+    (tmp_path / "t" / "log" / "version=1" / "_SUCCESS").unlink()
+    assert content(spark, table) == {("d1", "a", 1)}
+    assert table.versions_since_base(spark) == 1
+    assert table.compact(spark) == 0
+    table.upsert(rows(spark, ("d1", "b", 2)), 1)
+    assert content(spark, table) == {("d1", "a", 1), ("d1", "b", 2)}
+
+
 def test_day_filter_reads_one_folder(spark, table):
     table.upsert(rows(spark, ("d1", "a", 1), ("d2", "a", 2)), 0)
     table.compact(spark)
