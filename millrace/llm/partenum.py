@@ -39,6 +39,7 @@ WIDTH = 5
 PERCENT = 75
 MISS = 1e-6
 BLOCK = 4_096
+BITMAP = 1 << 24
 RATIO = 2  # of a band's edges; at least 100 / PERCENT, so that partners are in one of two bands
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -289,6 +290,29 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are links; only the texts they name are fetched."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = stored(docs.select(docs["doc_id"].cast("bigint").alias("rep"), utf8(docs, "text").alias("text"))
-                   .join(ids, "rep").dropDuplicates(["rep"]), "candidate-texts")
+    named = _in_bitmap(docs.select(docs["doc_id"].cast("bigint").alias("rep"), utf8(docs, "text").alias("text")), ids)
+    texts = stored(named.join(ids, "rep").dropDuplicates(["rep"]), "candidate-texts")
     return stored(_verify(pairs, texts).where("linked").select("a", "b"), "links")
+
+
+def _in_bitmap(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose ``rep`` hashes to a bit that one of ``ids`` has set: all that a join would keep, and a few more.
+
+    Spares the join most of the shuffle.  The bitmap has ``BITMAP`` bits whatever the input, so it is safe to broadcast.
+    """
+    spark = texts.sparkSession
+    bit = F.pmod(F.xxhash64("rep"), F.lit(BITMAP))
+    words = ids.withColumn("bit", bit).selectExpr("cast(bit div 64 AS int) AS word", "shiftleft(1L, cast(bit % 64 AS int)) AS bits")
+    table = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP // 64, np.int64)
+    bitmap[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(sent.value[at >> 6] >> (at & 63) & 1 == 1)).select(["rep", "text"])
+
+    return texts.where("rep IS NOT NULL").withColumn("bit", bit).mapInArrow(run, "rep bigint, text binary")
+
+
