@@ -34,6 +34,10 @@ SUBSTITUTE, DROP_SEPARATOR, DROP_REPEAT, KEEP_REPEAT = 0.7, 0.3, 0.5, 1.5
 #: Bound of the labelled rows that the weights are fitted on, of each label.
 MOST_LABELLED = 6_000
 LEAST_DOCS, LEAST_ODDS, MOST_FEATURES = 6, 3.0, 4_000
+#: A feature must be in this share of the toxic documents: what a few copies have in common says nothing.
+LEAST_SHARE = 0.02
+#: And so many of all labelled documents with it must be toxic.
+LEAST_PRECISION = 0.9
 PREFIXES = (4, 5, 6)
 SMALLEST_RUN, WINDOW = 4, 12
 
@@ -201,7 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[float,
     counted = rows.mapInArrow(run, "feature string, t bigint, c bigint").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # Two more clean documents than were seen: what is rare must not look strong.
     odds = F.log((F.col("t") + 0.5) / (total[1] + 1)) - F.log((F.col("c") + 2.0) / (total[0] + 2))
-    strong = counted.where(F.col("t") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    strong = counted.where(F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * total[1])).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    toxic_docs, clean_docs = F.col("t") * sizes[1] / total[1], F.col("c") * sizes[0] / total[0]
+    strong = strong.where(toxic_docs >= LEAST_PRECISION * (toxic_docs + clean_docs))
     best = strong.orderBy(F.desc(F.col("odds") * F.log1p("t")), "feature").limit(MOST_FEATURES).collect()
     return math.log(sizes[1] / sizes[0]), {r["feature"]: r["odds"] for r in best}
 
