@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import row_slices, utf8
+from millrace.llm.common import row_slices, stored, utf8
 
 # What a sign may stand for, and signs that may only separate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -34,8 +34,8 @@ SUBSTITUTE, DROP_SEPARATOR, DROP_REPEAT, KEEP_REPEAT = 0.7, 0.3, 0.5, 1.5
 #: Bound of the labelled rows that the weights are fitted on, of each label.
 MOST_LABELLED = 6_000
 LEAST_DOCS, LEAST_ODDS, MOST_FEATURES = 6, 3.0, 4_000
-#: A feature must be in this share of the toxic documents: what a few copies have in common says nothing.
-LEAST_SHARE = 0.02
+#: A feature's toxic count may come about by chance, over all features of ``LEAST_DOCS`` texts, with this probability at most.
+CHANCE = 0.01
 #: And so many of all labelled documents with it must be toxic.
 LEAST_PRECISION = 0.9
 PREFIXES = (4, 5, 6)
@@ -182,19 +182,20 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[float,
     toxic = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     toxic = toxic.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in toxic.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = {y: min(n, MOST_LABELLED) for y, n in sizes.items()}
     if not sizes.get(1) or not sizes.get(0):
         return (-20.0 if not sizes.get(1) else 20.0), {}
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = toxic.where(share < F.when(F.col("toxic") == 1, min(1.0, MOST_LABELLED / sizes[1])).otherwise(
         min(1.0, MOST_LABELLED / sizes[0])))
-    rows = docs.select("doc_id", utf8(docs, "text").alias("text")).join(sample, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", utf8(docs, "text").alias("text")).join(sample, "doc_id")
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies do not vote
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, counts = Restorer(costs), (Counter(), Counter())
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 counts[y].update(features(restorer.document(text.decode("utf-8", "replace"))[0]))
+                counts[y][""] += 1  # all texts
         keys = list(counts[1])  # a feature of no toxic document here adds nothing but to its clean count
         rest = [k for k in counts[0] if k not in counts[1]]
         for names in (keys, rest):
@@ -203,9 +204,19 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[float,
                  pa.array([counts[0][k] for k in names], pa.int64())], ["feature", "t", "c"])
 
     counted = rows.mapInArrow(run, "feature string, t bigint, c bigint").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = stored(counted, "features")
+    texts = counted.where("feature = ''").first()
+    total = {1: texts["t"] if texts else 0, 0: texts["c"] if texts else 0}
+    if not total[1] or not total[0]:
+        return math.log(sizes[1] / sizes[0]), {}
+    # Chernoff's bound of the chance to see so many toxic ones among the texts with a feature.
+    base, n, share_toxic = total[1] / (total[0] + total[1]), F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c"))
+    clean_part = F.when(share_toxic < 1, (1 - share_toxic) * F.log((1 - share_toxic) / (1 - base))).otherwise(0.0)
+    surprise = n * (share_toxic * F.log(share_toxic / base) + clean_part)
     # Two more clean documents than were seen: what is rare must not look strong.
     odds = F.log((F.col("t") + 0.5) / (total[1] + 1)) - F.log((F.col("c") + 2.0) / (total[0] + 2))
-    strong = counted.where(F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * total[1])).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    strong = counted.where((F.col("t") >= LEAST_DOCS) & (F.col("feature") != "")).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    strong = strong.where(surprise >= math.log(max(1, counted.where(n >= LEAST_DOCS).count()) / CHANCE))
     toxic_docs, clean_docs = F.col("t") * sizes[1] / total[1], F.col("c") * sizes[0] / total[0]
     strong = strong.where(toxic_docs >= LEAST_PRECISION * (toxic_docs + clean_docs))
     best = strong.orderBy(F.desc(F.col("odds") * F.log1p("t")), "feature").limit(MOST_FEATURES).collect()

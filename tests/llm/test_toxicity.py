@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import toxicity
 
@@ -71,3 +72,30 @@ def test_odd_rows(spark, fitted):
     none = spark.createDataFrame([], "doc_id bigint, toxic bigint")
     assert toxicity.judged(docs, none).count() == len(rows)
     assert toxicity.judged(docs.limit(0), none).count() == 0
+
+
+FILLER = "ana bere colo dima enta fure golo hima iste jaro kelo lumo".split()
+
+
+def labelled(spark, toxic_texts, clean_texts):
+    """Documents and labels, none of them held out."""
+    ids = [r["id"] for r in spark.range(4 * (len(toxic_texts) + len(clean_texts))).where(~toxicity.held_out(F.col("id"))).collect()]
+    rows = [(t, 1) for t in toxic_texts] + [(t, 0) for t in clean_texts]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, rows, strict=False)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows, strict=False)], "doc_id bigint, toxic bigint")
+    return docs, labels
+
+
+def prose(i):
+    return " ".join(FILLER[(i * k) % 12] for k in (1, 5, 7, 11, 3)) + f" nr{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}"
+
+
+def test_rare_toxic_words_count_and_copies_do_not(spark, fitted):
+    words = [a + b for a in ("grobu", "vexil", "quonk", "zarfa", "plimo", "drusk", "wombl", "fleeg", "snorq", "jibbo") for b in
+             ("tan", "mer", "sil", "dop", "kuv", "rix")]
+    toxic = [f"{prose(i)} {words[i // 10]} {prose(i + 7)}" for i in range(600)]
+    copies = ["ana copiedword bere"] * 40
+    docs, labels = labelled(spark, toxic + copies, [prose(i) + f" c{i}" for i in range(4_800)])
+    _, weights = toxicity.train(docs, labels, fitted[2])
+    # Each word is in 10 of 601 toxic texts, under two in a hundred.
+    assert all(w in weights for w in words) and "copiedword" not in weights
