@@ -39,11 +39,12 @@ CHANCE = 0.01
 #: And so many of all labelled documents with it must be toxic.
 LEAST_PRECISION = 0.9
 PREFIXES = (4, 5, 6)
-SMALLEST_RUN, WINDOW = 4, 12
+SMALLEST_RUN, WINDOW = 4, 24
 
 TOKEN = re.compile(r"[^\x00-\x20]+")
 WORD = re.compile(r"[^\W_]+")
-DISGUISED = re.compile(r"(\w)\1\1|[a-z].*[0-9@$!|+(€].*[a-z]|^[0-9@$!|(€].*[a-z]{2}|[a-z]{2}.*[0-9@$!€]$|^\w([.\-_*'~·/\\,:;#%&^]\w){3,}", re.S)
+#: A repeated sign, a sign that stands for a letter, or a separator within.
+DISGUISED = re.compile(r"(\w)\1|[0-9@$!|+(€]|\w[.\-_*'~·/\\,:;#%&^]+\w", re.S)
 TRIM = "\"“”«»()[]{}<>.,:;?#%&^*~'"
 
 
@@ -234,7 +235,7 @@ def score_text(text: str, restorer: Restorer, prior: float, weights: dict[str, f
         best = max((weights.get(f, 0.0) for f in (word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n))), default=0.0)
         if best:
             by_word.append(best)
-    by_word += [weights[s] for s in stretches if s in weights]
+    by_word += [best for s in stretches if (best := max(weights.get(s, 0.0), weights.get(s + "*", 0.0) if len(s) in PREFIXES else 0.0))]
     strongest = sorted(by_word, reverse=True)[:len(SHARES)]
     z = prior + sum(w * s for w, s in zip(strongest, SHARES, strict=False))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))

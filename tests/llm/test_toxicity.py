@@ -99,3 +99,16 @@ def test_rare_toxic_words_count_and_copies_do_not(spark, fitted):
     _, weights = toxicity.train(docs, labels, fitted[2])
     # Each word is in 10 of 601 toxic texts, under two in a hundred.
     assert all(w in weights for w in words) and "copiedword" not in weights
+
+
+@pytest.mark.parametrize("text, word", [
+    ("a stuupid b", "stupid"), ("iidiot", "idiot"), ("st.up.id", "stupid"), ("i-diot", "idiot"), ("lo-se-r", "loser"), ("stu_pid", "stupid"),
+    ("l0$3", "lose"), ("1d107", "idiot"),
+])
+def test_restores_partly_disguised_words(fitted, text, word):
+    assert word in toxicity.Restorer(fitted[2]).document(text)[0]
+
+
+def test_beginnings_in_spaced_stretches(fitted):
+    spaced = " ".join("pathetically")
+    assert toxicity.score_text(f"the {spaced} was", toxicity.Restorer(fitted[2]), -2.0, {"pathe*": 4.0}) > 0.5
