@@ -38,6 +38,10 @@ LEAST_DOCS, LEAST_ODDS, MOST_FEATURES = 6, 3.0, 4_000
 CHANCE = 0.01
 #: And so many of all labelled documents with it must be toxic.
 LEAST_PRECISION = 0.9
+#: Most log-odds of a text without evidence, however many of the labels are toxic: their share is not that of the texts.
+NO_EVIDENCE = math.log(0.1 / 0.9)
+#: The name of what any evidence adds to the log-odds; no word is empty.
+ANY = ""
 PREFIXES = (4, 5, 6)
 SMALLEST_RUN, WINDOW = 4, 24
 
@@ -175,7 +179,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[float, dict[str, float]]:
-    """The prior's log-odds and the weights, from labelled documents that are not held out.
+    """The log-odds of a text without evidence and the weights, from labelled documents that are not held out.
 
     Up to about ``MOST_LABELLED`` of each label, by a hash of the id, are read; with fewer, all.
     Counts are grouped by Spark; at most ``MOST_FEATURES`` weights reach the driver.
@@ -184,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[float,
     toxic = toxic.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in toxic.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return (-20.0 if not sizes.get(1) else 20.0), {}
+        return (-20.0 if not sizes.get(1) else NO_EVIDENCE), {}
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = toxic.where(share < F.when(F.col("toxic") == 1, min(1.0, MOST_LABELLED / sizes[1])).otherwise(
         min(1.0, MOST_LABELLED / sizes[0])))
@@ -209,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[float,
     texts = counted.where("feature = ''").first()
     total = {1: texts["t"] if texts else 0, 0: texts["c"] if texts else 0}
     if not total[1] or not total[0]:
-        return math.log(sizes[1] / sizes[0]), {}
+        return min(math.log(sizes[1] / sizes[0]), NO_EVIDENCE), {}
     # Chernoff's bound of the chance to see so many toxic ones among the texts with a feature.
     base, n, share_toxic = total[1] / (total[0] + total[1]), F.col("t") + F.col("c"), F.col("t") / (F.col("t") + F.col("c"))
     clean_part = F.when(share_toxic < 1, (1 - share_toxic) * F.log((1 - share_toxic) / (1 - base))).otherwise(0.0)
@@ -221,14 +225,27 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[float,
     toxic_docs, clean_docs = F.col("t") * sizes[1] / total[1], F.col("c") * sizes[0] / total[0]
     strong = strong.where(toxic_docs >= LEAST_PRECISION * (toxic_docs + clean_docs))
     best = strong.orderBy(F.desc(F.col("odds") * F.log1p("t")), "feature").limit(MOST_FEATURES).collect()
-    return math.log(sizes[1] / sizes[0]), {r["feature"]: r["odds"] for r in best}
+    prior, weights = math.log(sizes[1] / sizes[0]), {r["feature"]: r["odds"] for r in best}
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, found = Restorer(costs), [0, 0]
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                found[y] += not strongest(text.decode("utf-8", "replace"), restorer, weights)
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(found, pa.int64())], ["y", "n"])
+
+    counts = {r["y"]: r["n"] for r in rows.mapInArrow(without, "y int, n bigint").groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    absent = {y: (counts.get(y, 0) + 0.5) / (total[y] + 1) for y in (0, 1)}
+    intercept = min(prior + math.log(absent[1] / absent[0]), NO_EVIDENCE)
+    return intercept, weights | {ANY: prior - intercept}
 
 
 #: How many of a document's strongest features count, and how much each after the first.
 SHARES = (1.0, 0.5, 0.25)
 
 
-def score_text(text: str, restorer: Restorer, prior: float, weights: dict[str, float]) -> float:
+def strongest(text: str, restorer: Restorer, weights: dict[str, float]) -> list[float]:
+    """The weights of a text's strongest features."""
     words, stretches = restorer.document(text)
     by_word: list[float] = []
     for word in words:
@@ -236,13 +253,17 @@ def score_text(text: str, restorer: Restorer, prior: float, weights: dict[str, f
         if best:
             by_word.append(best)
     by_word += [best for s in stretches if (best := max(weights.get(s, 0.0), weights.get(s + "*", 0.0) if len(s) in PREFIXES else 0.0))]
-    strongest = sorted(by_word, reverse=True)[:len(SHARES)]
-    z = prior + sum(w * s for w, s in zip(strongest, SHARES, strict=False))
+    return sorted(by_word, reverse=True)[:len(SHARES)]
+
+
+def score_text(text: str, restorer: Restorer, prior: float, weights: dict[str, float]) -> float:
+    found = strongest(text, restorer, weights)
+    z = prior + (weights.get(ANY, 0.0) if found else 0.0) + sum(w * s for w, s in zip(found, SHARES, strict=False))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def score(docs: DataFrame, costs: np.ndarray, prior: float, weights: dict[str, float]) -> DataFrame:
-    """All columns of ``docs`` and ``score``, from 0 to 1; a null or empty text has the prior's score.
+    """All columns of ``docs`` and ``score``, from 0 to 1; a null or empty text has that of no evidence.
 
     Every whole text is scored alone: repeated rows score alike.  No shuffle.
     """

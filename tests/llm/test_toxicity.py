@@ -112,3 +112,14 @@ def test_restores_partly_disguised_words(fitted, text, word):
 def test_beginnings_in_spaced_stretches(fitted):
     spaced = " ".join("pathetically")
     assert toxicity.score_text(f"the {spaced} was", toxicity.Restorer(fitted[2]), -2.0, {"pathe*": 4.0}) > 0.5
+
+
+def test_no_evidence_is_not_toxic_under_a_toxic_half(spark, fitted):
+    costs = fitted[2]
+    docs, labels = labelled(spark, [f"{prose(i)} grobutan" for i in range(1_000)], [prose(i) + " c" for i in range(1_000)])
+    rows = spark.createDataFrame([(1, ""), (2, "ana bere colo"), (3, None), (4, "ana grobutan")], "doc_id bigint, text string")
+    for some in (labels, labels.where("toxic = 1")):
+        prior, weights = toxicity.train(docs, some, costs)
+        scores = {r["doc_id"]: r["score"] for r in toxicity.score(rows, costs, prior, weights).collect()}
+        assert all(scores[i] < 0.3 for i in (1, 2, 3))
+        assert not weights or scores[4] >= 0.3
