@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, curriculum, html_main, partenum, secrets, simple8b, spherical, topk, toxicity, url_filter
+from millrace.llm import (
+    bpe,
+    curriculum,
+    html_main,
+    merkle,
+    partenum,
+    secrets,
+    simple8b,
+    spherical,
+    topk,
+    toxicity,
+    trie,
+    url_filter,
+)
 from millrace.llm.common import read
 from millrace.session import work_dir
 
@@ -71,10 +84,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, vocabulary))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt_paths(read(spark, sf_dir, "conversations")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(merkle.proofs(merkle.tampered(read(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
-        op1_main_text, op2_url_filter, op3_ngram_join, op4_token_shards, op5_toxicity, op6_embedding_dedup, op7_curriculum, op8_top_k, op9_secrets, op10_bpe)}
+        op1_main_text, op2_url_filter, op3_ngram_join, op4_token_shards, op5_toxicity, op6_embedding_dedup, op7_curriculum, op8_top_k, op9_secrets, op10_bpe,
+        op11_prefix_trie, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_curriculum": curriculum.sql(), "op8_top_k": topk.sql(5, 50)}
+    return {"op7_curriculum": curriculum.sql(), "op8_top_k": topk.sql(5, 50), "op11_prefix_trie": trie.sql(), "op12_merkle_manifest": merkle.sql()}
