@@ -12,6 +12,7 @@ from millrace.llm import (
     bpe,
     curriculum,
     html_main,
+    lm_score,
     merkle,
     partenum,
     secrets,
@@ -92,10 +93,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(merkle.proofs(merkle.tampered(read(spark, sf_dir, "documents"))))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (
         op1_main_text, op2_url_filter, op3_ngram_join, op4_token_shards, op5_toxicity, op6_embedding_dedup, op7_curriculum, op8_top_k, op9_secrets, op10_bpe,
-        op11_prefix_trie, op12_merkle_manifest)}
+        op11_prefix_trie, op12_merkle_manifest, op13_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
