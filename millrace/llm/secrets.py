@@ -20,6 +20,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.json import computed_once
+from millrace.llm.common import stored
+
+#: What the forest must say for a candidate to be a secret.
+SECRET_FROM = 0.5
+
 SPACE = r"[\x20\x09-\x0D]"
 MASK = "[SECRET]"
 
@@ -64,6 +70,8 @@ BEGINNINGS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-",
 LEADS = r"""(?:[=:>]["']?|^[iI][sS]|[rR])$"""
 #: So much of a word around a value is its neighbourhood.
 NEAR = 64
+#: Offsets are summed up in blocks of so many words that were hit.
+BLOCK = 64
 
 FEATURES = ["length", "switches", "coverage", "variety", "digits", "capitals", "hex", "path", "known", "asks", "benign", "runs", "assigned"]
 
@@ -74,59 +82,77 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """All columns and ``found``: for each candidate its value, offset, word near it, what stands before it there,
-    and the three words before and one after.
+    """The rows of ``text`` and any columns but ``words, asks, hits, gaps, found``, with ``found``: for each candidate its value, offset,
+    word near it, what stands before it there, and the three words before and one after.
 
-    Whole texts are split once; documents that cannot hold a candidate are not split.
+    Whole texts are split once; documents that cannot hold a candidate are not split.  Each step is computed once:
+    Spark would otherwise repeat it for every mention in a filter above.
     """
-    words = F.split("text", SPACE)
+    kept = tuple(docs.columns)
     has = lambda text, *signs: reduce(or_, [F.contains(text, F.lit(x)) for x in signs])
     may_hold = lambda text: (
         (F.rlike(text, F.lit("[0-9]")) & F.rlike(text, F.lit(RUN)))
         | (has(text, *BEGINNINGS) & F.rlike(text, F.lit(BEGUN)))
         | (has(text, "://") & F.rlike(text, F.lit(WITH_URL))))
-    asks, may = F.rlike("text", F.lit(ASKING_TEXT)), may_hold(F.col("text"))
 
     def parts(word: Column, at: Column) -> Column:
         """What stands between the candidates of a word, and these, in turn: a word has no line ends of its own."""
         marked = lambda pattern: F.regexp_replace(word, f"({pattern})", "\n$1\n")
-        before = F.concat_ws(" ", F.get("_words", at - 2), F.get("_words", at - 1))
-        cut = F.when(F.col("_asks") & F.rlike(before, F.lit(ASKING)), marked(AFTER)).when(
-            F.col("_asks") & F.rlike(word, F.lit(f"(?i:{ASKS})")), marked(NAMED)).otherwise(marked(PLAIN))
+        before = F.concat_ws(" ", F.get("words", at - 2), F.get("words", at - 1))
+        cut = F.when(F.col("asks") & F.rlike(before, F.lit(ASKING)), marked(AFTER)).when(
+            F.col("asks") & F.rlike(word, F.lit(f"(?i:{ASKS})")), marked(NAMED)).otherwise(marked(PLAIN))
         return F.split(cut, "\n")
 
-    def describe(hit: Column) -> Column:
-        at, word, pieces = hit["at"], F.get("_words", hit["at"]), hit["parts"]
-        head = F.length(F.array_join(F.slice("_words", F.lit(1), at), " ")) + F.when(at > 0, 1).otherwise(0)
-        before = F.array_join(F.slice("_words", F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3))), " ")
-        after = F.coalesce(F.get("_words", at + 1), F.lit(""))
-        lengths = F.transform(pieces, lambda p: F.length(p))
-        odd = F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))
-
-        def one(i: Column, begin: Column, sizes: Column) -> Column:
-            value = F.get(pieces, i)
-            return _let(F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n), lambda offset: F.struct(
-                value.alias("value"),
-                (begin + offset).cast("bigint").alias("start"),
-                F.substring(word, F.greatest(offset - NEAR, F.lit(0)) + 1, F.least(offset, F.lit(NEAR)) + F.length(value) + NEAR).alias("word"),
-                F.substring(word, F.greatest(offset - NEAR, F.lit(0)) + 1, F.least(offset, F.lit(NEAR))).alias("head"),
-                before.alias("before"),
-                after.alias("after"),
-            ))
-
-        return _let(F.struct(head.alias("begin"), lengths.alias("sizes")), lambda k: F.transform(odd, lambda i: one(i, k["begin"], k["sizes"])))
-
     def worth(word: Column, at: Column) -> Column:
         """Whether the word may hold a candidate: cheap tests first."""
-        asked = F.rlike(word, F.lit(SIGNED)) | F.coalesce(F.rlike(F.get("_words", at - 1), F.lit(LEADS)), F.lit(False))
+        asked = F.rlike(word, F.lit(SIGNED)) | F.coalesce(F.rlike(F.get("words", at - 1), F.lit(LEADS)), F.lit(False))
         n = F.octet_length(word)
-        return (n >= 6) & ((F.col("_asks") & asked) | ((n >= 8) & may_hold(word)))
+        return (n >= 6) & ((F.col("asks") & asked) | ((n >= 8) & may_hold(word)))
 
-    marked = docs.withColumn("_asks", F.coalesce(asks, F.lit(False))).withColumn("_words", F.when(F.col("_asks") | may, words).otherwise(F.array().cast("array<string>")))
+    asks = F.coalesce(F.rlike("text", F.lit(ASKING_TEXT)), F.lit(False)).alias("asks")
+    marked = computed_once(docs.select(*kept, asks), through=kept)
+    words = F.when(F.col("asks") | may_hold(F.col("text")), F.split("text", SPACE)).otherwise(F.array().cast("array<string>"))
+    split = computed_once(marked.select(*kept, "asks", words.alias("words")), through=kept)
     hits = F.filter(
-        F.transform("_words", lambda w, i: F.when(worth(w, i), F.struct(i.alias("at"), parts(w, i).alias("parts")))),
+        F.transform("words", lambda w, i: F.when(worth(w, i), F.struct(i.alias("at"), parts(w, i).alias("parts")))),
         lambda h: F.size(h["parts"]) > 1)
-    return marked.withColumn("found", F.flatten(F.transform(hits, describe))).drop("_words", "_asks")
+    hit = computed_once(split.select(*kept, "words", hits.alias("hits")), through=kept)
+    # characters from each word that was hit back to the one before it, so that offsets are sums of these
+    last = lambda k: F.when(k > 0, F.get("hits", k - 1)["at"]).otherwise(0)
+    gaps = F.transform("hits", lambda h, k: _let(
+        last(k), lambda p: F.length(F.array_join(F.slice("words", p + 1, h["at"] - p), "")) + h["at"] - p))
+    gap = computed_once(hit.select(*kept, "words", "hits", gaps.alias("gaps")), through=kept)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("gaps") / BLOCK)), lambda b: _sum(F.slice("gaps", b.cast("int") * BLOCK + 1, F.lit(BLOCK))))
+    ready = computed_once(gap.select(*kept, "words", "hits", "gaps", blocks.alias("blocks")), through=kept)
+    found = F.flatten(F.transform("hits", lambda h, k: _described(h, _sum(F.slice("blocks", F.lit(1), F.floor(k / BLOCK).cast("int")))
+                                                                 + _sum(F.slice("gaps", F.floor(k / BLOCK).cast("int") * BLOCK + 1, k % BLOCK + 1)))))
+    return computed_once(ready.select(*kept, found.alias("found")), through=kept)
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+
+def _described(hit: Column, begin: Column) -> Column:
+    """The candidates of a word that begins at ``begin``."""
+    at, word, pieces = hit["at"], F.get("words", hit["at"]), hit["parts"]
+    before = F.array_join(F.slice("words", F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3))), " ")
+    after = F.coalesce(F.get("words", at + 1), F.lit(""))
+    lengths = F.transform(pieces, lambda p: F.length(p))
+    odd = F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))
+
+    def one(i: Column, head: Column, sizes: Column) -> Column:
+        value = F.get(pieces, i)
+        return _let(F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n), lambda offset: F.struct(
+            value.alias("value"),
+            (head + offset).cast("bigint").alias("start"),
+            F.substring(word, F.greatest(offset - NEAR, F.lit(0)) + 1, F.least(offset, F.lit(NEAR)) + F.length(value) + NEAR).alias("word"),
+            F.substring(word, F.greatest(offset - NEAR, F.lit(0)) + 1, F.least(offset, F.lit(NEAR))).alias("head"),
+            before.alias("before"),
+            after.alias("after"),
+        ))
+
+    return _let(F.struct(begin.alias("begin"), lengths.alias("sizes")), lambda k: F.transform(odd, lambda i: one(i, k["begin"], k["sizes"])))
 
 
 def features(f: DataFrame) -> DataFrame:
@@ -235,6 +261,11 @@ def train(spark: SparkSession, labelled: list | None = None) -> PipelineModel:
     return Pipeline(stages=[assembled, forest]).fit(features(table))
 
 
+def _scored(findings: DataFrame, model: PipelineModel) -> DataFrame:
+    scored = model.transform(features(findings)).withColumn("score", vector_to_array("_probability")[1])
+    return scored.withColumn("secret", F.col("score") >= SECRET_FROM)
+
+
 def scan(docs: DataFrame, model: PipelineModel) -> DataFrame:
     """``doc_id, source, start, value, before, after, score, secret``: a row for each candidate.
 
@@ -242,27 +273,30 @@ def scan(docs: DataFrame, model: PipelineModel) -> DataFrame:
     texts have no candidates; repeated rows and ids are scanned one by one; other columns are left out.  No shuffle.
     """
     rows = candidates(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.inline("found"))
-    scored = model.transform(features(rows)).withColumn("score", vector_to_array("_probability")[1])
-    return scored.select("doc_id", "source", "start", "value", "before", "after", "score", (F.col("score") >= 0.5).alias("secret"))
+    return _scored(rows, model).select("doc_id", "source", "start", "value", "before", "after", "score", "secret")
 
 
 def redact(docs: DataFrame, model: PipelineModel) -> DataFrame:
-    """The documents, all columns and rows, with every secret in the text replaced by ``MASK``.
+    """The documents, all columns and rows, with every secret in the text replaced by ``MASK``, at its place.
 
-    Only findings are shuffled with the rows that have them: a row gets a number, its secrets are gathered
-    by that number (a few for each text) and go back to it.
+    A candidate is masked if it is a secret or has the value of one in the same text.  Columns may have any names; rows equal
+    in all columns are masked one by one.  Rows are numbered and written once with their candidates; of these, only rows
+    with candidates are shuffled, to meet their secrets by that number.
     """
-    found = candidates(docs)
-    hit = found.where(F.size("found") > 0).withColumn("_row", F.struct(*[F.col(c) for c in docs.columns]))
-    rows = hit.select(F.md5(F.to_json("_row").cast("binary")).alias("_key"), "_row", "found")
-    findings = rows.select("_key", F.inline(F.array_distinct("found")))
-    scored = model.transform(features(findings)).where(vector_to_array("_probability")[1] >= 0.5)
-    secrets = scored.groupBy("_key").agg(F.collect_set("value").alias("_values"))
-    masked = F.aggregate(
-        F.coalesce("_values", F.array().cast("array<string>")), F.col("_row.text"),
-        lambda text, value: F.replace(text, value, F.lit(MASK)))
-    clean = found.where(F.coalesce(F.size("found"), F.lit(0)) == 0).select(*docs.columns)
-    # Rows equal in all columns have one key, and the same secrets.
-    mended = rows.join(secrets, "_key", "left").select(
-        *[masked.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), whole, docs["text"].alias("text"))
+    found = stored(candidates(numbered).drop("text"), "secret-candidates")
+    any_found = F.coalesce(F.size("found"), F.lit(0)) > 0
+    scored = _scored(found.where(any_found).select("row", F.inline("found")), model)
+    values = scored.groupBy("row", "value").agg(F.max("secret").alias("secret"), F.collect_list("start").alias("starts")).where("secret")
+    spans = values.select("row", F.explode("starts").alias("start"), F.length("value").alias("n"))
+    spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))
+    text, end = F.col("doc.text"), lambda k: F.when(k > 0, F.get("spans", k - 1)["start"] + F.get("spans", k - 1)["n"]).otherwise(0)
+    between = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+    masked = F.when(F.col("spans").isNull(), text).otherwise(F.concat(
+        F.array_join(F.transform("spans", lambda s, k: F.concat(between(end(k), s["start"]), F.lit(MASK))), ""),
+        between(end(F.size("spans")), F.length(text))))
+    clean = found.where(~any_found).select("doc.*")
+    mended = found.where(any_found).select("row", "doc").join(spans, "row", "left").select(
+        *[masked.alias("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
     return clean.union(mended)

@@ -78,3 +78,20 @@ def test_long_word_of_many(spark, model):
     docs = spark.createDataFrame([(1, text, "s")], "doc_id bigint, text string, source string")
     found = secrets.scan(docs, model).where("secret").collect()
     assert len(found) == 2_000 and all(text[r["start"]:r["start"] + 22] == r["value"] for r in found)
+
+
+def test_masking_leaves_no_part_and_keeps_clashing_columns(spark, model):
+    short, long = HEX24, HEX24 + "aa17"
+    text = f"password={short} and token={long} then {short}"
+    rows = [(1, text, "s", "mine", 7, "w"), (1, text, "s", "mine", 7, "w"), (None, text, None, "mine", 7, "w"), (2, None, "s", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, found string, row int, doc string")
+    got = secrets.redact(docs, model).collect()
+    m = secrets.MASK
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, (
+        (a, t and f"password={m} and token={m} then {m}", *rest) for a, t, *rest in rows)))
+
+
+def test_each_step_is_planned_once(spark, model):
+    docs = spark.createDataFrame([(1, "a", "s")], "doc_id bigint, text string, source string")
+    plan = secrets.scan(docs, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 4 and plan.count("regexp_replace(") <= 4
