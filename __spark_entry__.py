@@ -7,15 +7,17 @@ without the JSON records the queries pass through.
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans import batch, streams
 
-try:  # the training-data operators are an optional part
+_HERE = Path(__file__).resolve().parent
+if (_HERE / "millrace/llm/queries.py").exists() and (_HERE / "corpus_pipeline.py").exists():
     import corpus_pipeline
     from millrace.llm import queries as llm
-except ImportError:
+else:  # the training-data operators are an optional part; a library they lack is an error
     corpus_pipeline = llm = None
 
 SAMPLE = "/root/testdata/sf0.001"
@@ -49,6 +51,9 @@ def queries() -> dict[str, Query]:
         batch.log_page_topic,
         batch.log_parse_props,
         batch.log_quarantine,
+        batch.cdc_quarantine,
+        batch.page_quarantine,
+        batch.order_quarantine,
         batch.cdc_ops,
         batch.cdc_fact_route,
         batch.cdc_fact_counts,
@@ -71,9 +76,12 @@ def queries() -> dict[str, Query]:
         batch.upsert_latest,
         streams.dau_day_index,
         streams.stream_log_split,
+        streams.stream_log_records,
         streams.stream_change_split,
+        streams.stream_change_feeds,
         streams.stream_dau,
         streams.stream_dau_earliest,
+        streams.stream_dau_restart,
         streams.stream_order_wide,
         streams.stream_order_wide_cached,
     ]
@@ -107,15 +115,15 @@ _ON_PAGE = "e.event_type IN ('view', 'click', 'purchase')"
 
 _PAGE_LOG = f"SELECT {_KEY}, {_COMMON}, {_PAGE}, epoch_us(e.ts) // 1000 AS ts FROM events e WHERE {_ON_PAGE}"
 
-_ROUTES = """
-    SELECT 'DWD_ERROR_LOG_TOPIC' AS topic FROM events WHERE event_type = 'error'
-    UNION ALL SELECT 'DWD_START_LOG_TOPIC' FROM events WHERE event_type = 'signup'
-    UNION ALL SELECT 'DWD_PAGE_LOG_TOPIC' FROM events WHERE event_type IN ('view', 'click', 'purchase')
-    UNION ALL SELECT 'DWD_PAGE_DISPLAY_TOPIC' FROM events, range(3) t(i)
+_ROUTED = """
+    SELECT 'DWD_ERROR_LOG_TOPIC' AS topic, event_id FROM events WHERE event_type = 'error'
+    UNION ALL SELECT 'DWD_START_LOG_TOPIC', event_id FROM events WHERE event_type = 'signup'
+    UNION ALL SELECT 'DWD_PAGE_LOG_TOPIC', event_id FROM events WHERE event_type IN ('view', 'click', 'purchase')
+    UNION ALL SELECT 'DWD_PAGE_DISPLAY_TOPIC', event_id FROM events, range(3) t(i)
         WHERE event_type = 'view' AND i < event_id % 4
-    UNION ALL SELECT 'DWD_PAGE_ACTION_TOPIC' FROM events, range(3) t(i)
+    UNION ALL SELECT 'DWD_PAGE_ACTION_TOPIC', event_id FROM events, range(3) t(i)
         WHERE event_type = 'click' AND i < event_id % 4"""
-_ROUTE_COUNTS = f"SELECT topic, count(*) AS n_rows FROM ({_ROUTES}) GROUP BY topic"
+_ROUTE_COUNTS = f"SELECT topic, count(*) AS n_rows FROM ({_ROUTED}) GROUP BY topic"
 
 _USERS = """
     SELECT CAST(c_custkey AS VARCHAR) AS id,
@@ -256,6 +264,33 @@ def oracle_sql() -> dict[str, str]:
                                 THEN 'bad_number'
                        END AS reject
                 FROM events) WHERE reject IS NOT NULL""",
+        "cdc_quarantine": """
+            SELECT * FROM (
+                SELECT CAST(o_orderkey AS VARCHAR) AS key,
+                       CASE WHEN o_orderkey % 7 = 0 THEN 'bad_json'
+                            WHEN o_orderkey % 11 = 0 THEN 'no_value'
+                            WHEN o_orderkey % 5 = 4 THEN NULL
+                            WHEN o_orderkey % 13 = 0 THEN 'no_table'
+                            WHEN o_orderkey % 17 = 0 THEN 'no_data'
+                       END AS reject
+                FROM orders) WHERE reject IS NOT NULL""",
+        "page_quarantine": f"""
+            SELECT * FROM (
+                SELECT CAST(e.event_id AS VARCHAR) AS key,
+                       CASE WHEN e.event_id % 7 = 0 THEN 'bad_json'
+                            WHEN e.event_id % 11 = 0 THEN 'no_value'
+                            WHEN e.event_id % 13 = 0 THEN 'bad_number'
+                            WHEN e.event_id % 17 = 0 THEN 'future_ts'
+                       END AS reject
+                FROM events e WHERE {_ON_PAGE}) WHERE reject IS NOT NULL""",
+        "order_quarantine": """
+            SELECT * FROM (
+                SELECT CAST(o_orderkey AS VARCHAR) AS key,
+                       CASE WHEN o_orderkey % 7 = 0 THEN 'bad_json'
+                            WHEN o_orderkey % 11 = 0 THEN 'no_value'
+                            WHEN o_orderkey % 13 = 0 THEN 'bad_number'
+                       END AS reject
+                FROM orders) WHERE reject IS NOT NULL""",
         "cdc_ops": f"""
             SELECT CAST(o_orderkey AS VARCHAR) AS key, {_op("o_orderkey")} AS op
             FROM orders WHERE o_orderkey % 5 <> 4""",
@@ -319,6 +354,13 @@ def oracle_sql() -> dict[str, str]:
                                        ORDER BY CAST(key AS BIGINT) DESC) = 1""",
         "dau_day_index": f"SELECT mid FROM ({_DAU_FIRST}) WHERE dt = '2024-01-05'",
         "stream_log_split": _ROUTE_COUNTS,
+        "stream_log_records": f"""
+            SELECT r.topic, 'm' || CAST(e.user_id AS VARCHAR) AS mid, epoch_us(e.ts) // 1000 AS ts
+            FROM ({_ROUTED}) r JOIN events e ON e.event_id = r.event_id""",
+        "stream_change_feeds": f"""
+            SELECT topic, key AS id, create_time AS detail FROM ({_FACTS})
+            UNION ALL SELECT 'USER_INFO', id, gender || '|' || birthday FROM ({_DIM_LATEST})
+            UNION ALL SELECT 'BASE_PROVINCE', CAST(n_nationkey AS VARCHAR), n_name FROM nation""",
         "stream_change_split": f"""
             SELECT topic, key AS id, CAST(NULL AS VARCHAR) AS birthday FROM ({_FACTS})
             WHERE topic LIKE 'DWD_ORDER_INFO%'
@@ -328,6 +370,7 @@ def oracle_sql() -> dict[str, str]:
                    province_area_code, dim_miss
             FROM ({_DAU_WIDE})""",
         "stream_dau_earliest": _DAU_WIDE,
+        "stream_dau_restart": _DAU_WIDE,
         "stream_order_wide": _ORDER_WIDE,
         "stream_order_wide_cached": _ORDER_WIDE,
     }

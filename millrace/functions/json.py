@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,31 +49,42 @@ def bind(
     not bind are left out here; :func:`unbound` lists them.
     """
     names = [f.name for f in schema.fields]
-    return _bound(df, schema, value, keep).where("_ok").select(*keep, *names)
+    return judged(df, schema, value=value, keep=keep).where("reject IS NULL").select(*keep, *names)
 
 
 def unbound(
     df: DataFrame, schema: T.StructType, *, value: str = "value", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """D1: the records :func:`bind` leaves out, as ``value`` with ``keep``."""
-    return _bound(df, schema, value, keep).where("NOT _ok").select(*keep, value)
+    return judged(df, schema, value=value, keep=keep).where("reject IS NOT NULL").select(*keep, value)
 
 
-def _bound(df: DataFrame, schema: T.StructType, value: str, keep: tuple[str, ...]) -> DataFrame:
+def judged(
+    df: DataFrame, schema: T.StructType, *, value: str = "value", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """PRJ-1, PRJ-2, D1: every record, parsed once: ``keep``, ``value``, ``reject`` and the typed fields.
+
+    ``reject`` is null for usable records, else ``no_value``, ``bad_json`` or ``bad_number``.
+    """
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     others = tuple(c for c in keep if c != value)
     parsed = computed_once(
         df.select(*others, value, parse(value, texts).alias("_r")), through=(*others, value)
     )
     numeric = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    readable = F.col("_r").isNotNull() & F.col(f"_r.{CORRUPT}").isNull()
+    unreadable = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
     # A number that is present but unreadable rejects the record: a silent zero
     # would be a wrong result.
-    usable = [_present(f).isNull() | _number(f).isNotNull() for f in numeric]
+    unusable = [_present(f).isNotNull() & _number(f).isNull() for f in numeric]
+    reject = (
+        F.when(F.col(value).isNull(), "no_value")
+        .when(unreadable, "bad_json")
+        .when(reduce(or_, unusable, F.lit(False)), "bad_number")
+    )
     typed = parsed.select(
         *others,
         value,
-        reduce(and_, usable, readable).alias("_ok"),
+        reject.alias("reject"),
         *[_typed(f).alias(f.name) for f in schema.fields],
     )
     return computed_once(typed, through=(*others, value))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.json import computed_once, parse
 from millrace.operators.keyed import latest_per_key
-from millrace.schemas import CHANGE_ENVELOPE, CHANGE_OPS, CORRUPT
+from millrace.schemas import CHANGE_ENVELOPE, CHANGE_OPS, CORRUPT, TOPIC_DB_REJECT
 
 #: Table lists up to this size become a literal filter; longer ones a join.
 MAX_LITERAL_NAMES = 10_000
@@ -27,34 +27,50 @@ def changes(raw: DataFrame, *, value: str = "value", keep: tuple[str, ...] = ())
 
     Columns: ``keep``, ``table``, ``op``, ``data`` (the row image as JSON text).
     """
-    parsed = _parsed(raw, value, keep)
-    return parsed.where(_readable() & F.col("op").isNotNull()).select(*keep, "table", "op", "data")
+    return wanted(judged(raw, value=value, keep=keep)).select(*keep, "table", "op", "data")
 
 
 def bad_changes(raw: DataFrame, *, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """D1: change records that are unreadable, or wanted but without table or data."""
-    parsed = _parsed(raw, value, keep)
-    return parsed.where(~_readable()).select(*keep, value)
+    return judged(raw, value=value, keep=keep).where("reject IS NOT NULL").select(*keep, value)
 
 
-def _parsed(raw: DataFrame, value: str, keep: tuple[str, ...]) -> DataFrame:
+def wanted(records: DataFrame) -> DataFrame:
+    """Of judged records, those to be routed; the rest are rejects, and changes of types nobody asked for."""
+    return records.where(F.col("reject").isNull() & F.col("op").isNotNull())
+
+
+def judged(raw: DataFrame, *, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every change record, parsed once: ``keep``, ``value``, ``reject``, ``table``, ``op``, ``data``.
+
+    ``reject`` is ``no_value``, ``bad_json``, or for wanted changes ``no_table`` or ``no_data``; else null.
+    """
     carried = (*[c for c in keep if c != value], value)
     env = F.col("_env")
     parsed = computed_once(
         raw.select(*carried, parse(value, CHANGE_ENVELOPE).alias("_env")), through=carried
     )
-    return parsed.select(
+    fields = parsed.select(
         *carried,
-        (env.isNotNull() & env[CORRUPT].isNull()).alias("_parsed"),
+        (env.isNull() | env[CORRUPT].isNotNull()).alias("_unreadable"),
         env["table"].alias("table"),
         change_op(env["type"]).alias("op"),
         env["data"].alias("data"),
     )
+    reject = (
+        F.when(F.col(value).isNull(), "no_value")
+        .when(F.col("_unreadable"), "bad_json")
+        .when(F.col("op").isNull(), None)
+        .when(F.col("table").isNull(), "no_table")
+        .when(F.col("data").isNull(), "no_data")
+    )
+    return fields.select(*carried, reject.alias("reject"), "table", "op", "data")
 
 
-def _readable() -> Column:
-    complete = F.col("table").isNotNull() & F.col("data").isNotNull()
-    return F.col("_parsed") & (F.col("op").isNull() | complete)
+def reject_records(records: DataFrame, *, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """D1: the rejects of judged records as ``(topic, key, value)``, with the reason as key."""
+    bad = records.where(F.col("reject").isNotNull())
+    return bad.select(*keep, F.lit(TOPIC_DB_REJECT).alias("topic"), F.col("reject").alias("key"), F.col(value).alias("value"))
 
 
 def name_filter(names: DataFrame, column: str = "table_name") -> list[str] | None:

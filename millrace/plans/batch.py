@@ -5,8 +5,11 @@ Every function takes ``(spark, sf_dir)`` and reads whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.dates import as_of_date, date_part, hour_part, whole_years
 from millrace.functions.json import as_long, bind
@@ -20,6 +23,7 @@ from millrace.schemas import (
 )
 from millrace.sources import samples
 from millrace.sources.tables import table, table_names
+from millrace.streaming import ingest
 
 
 # -- inputs --------------------------------------------------------------------
@@ -135,6 +139,29 @@ def cdc_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.changes(feed, keep=("key",)).select("key", "op")
 
 
+def cdc_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 of job 2: order changes that cannot be routed, with the reason."""
+    feed = samples.with_faults(samples.order_changes(table(spark, sf_dir, "orders")), samples.CHANGE_FAULTS)
+    return cdc.judged(feed, keep=("key",)).where("reject IS NOT NULL").select("key", "reject")
+
+
+def page_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1, D9 of job 3: page records that do not bind or are dated ahead of their arrival."""
+    topic = routed_logs(spark, sf_dir).where(F.col("topic") == TOPIC_PAGE)
+    return _quarantine(samples.with_faults(topic, samples.PAGE_FAULTS), PAGE_LOG, [ingest.not_ahead()])
+
+
+def order_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 of job 4: order headers that do not bind."""
+    feed = samples.order_headers_json(table(spark, sf_dir, "orders"))
+    return _quarantine(samples.with_faults(feed, samples.HEADER_FAULTS), ORDER_INFO)
+
+
+def _quarantine(records: DataFrame, schema: T.StructType, gates: Sequence[ingest.Gate] = ()) -> DataFrame:
+    judged = ingest.ingested(records.withColumn("arrived", F.current_timestamp()), schema, gates)
+    return judged.where(F.col("kind") == ingest.REJECTED).select("key", "reject")
+
+
 def cdc_fact_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = cdc.changes(change_feed(spark, sf_dir))
     facts = cdc.fact_records(feed, fact_tables(spark), key="id")

@@ -18,6 +18,7 @@ from millrace.session import ROCKSDB, settings, work_dir
 from millrace.sinks.topics import TopicSink
 from millrace.sources import samples
 from millrace.sources.streams import TopicSource, read_table_stream, read_topic
+from millrace.sources.tables import drop_newest
 from millrace.streaming import jobs
 from millrace.streaming.jobs import Run
 from millrace.streaming.orders import SALTS
@@ -63,12 +64,48 @@ def stream_log_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.groupBy("topic").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def stream_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job 1, read back record by record: topic, device and time of each."""
+    work = work_dir(spark, "log-records")
+    sink = TopicSink(path=f"{work}/topics")
+    jobs.start_log_split(samples.app_logs(_stream(spark, sf_dir, "events")), sink, Run(f"{work}/checkpoint", ONCE)).awaitTermination()
+    record = F.from_json("value", "mid string, common struct<mid: string>, ts bigint")
+    written = spark.read.parquet(sink.path).select("topic", record.alias("r"))
+    return written.select("topic", F.coalesce("r.mid", "r.common.mid").alias("mid"), F.col("r.ts").alias("ts"))
+
+
+def stream_change_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job 2 over all four tables of the change feed: fact records by topic, and current dimension rows."""
+    work = work_dir(spark, "change-feeds")
+    no_seq = F.lit(None).cast("bigint").alias("seq")
+    raw = (
+        samples.order_changes(_stream(spark, sf_dir, "orders"), keep=("appended", no_seq))
+        .unionByName(samples.line_changes(_stream(spark, sf_dir, "lineitem"), keep=("appended", no_seq)))
+        .unionByName(samples.user_changes(_stream(spark, sf_dir, "customer"), keep=("appended",)))
+        .unionByName(samples.province_changes(_stream(spark, sf_dir, "nation"), keep=("appended",)))
+    )
+    dims, sink = jobs.dim_table(f"{work}/dims"), TopicSink(path=f"{work}/topics")
+
+    def tables(session: SparkSession) -> tuple[DataFrame, DataFrame]:
+        return batch.fact_tables(session), batch.dim_tables(session)
+
+    jobs.start_change_split(raw, sink, dims, tables, Run(f"{work}/checkpoint", ONCE)).awaitTermination()
+    facts = spark.read.parquet(sink.path).select("topic", F.from_json("value", "id string, create_time string").alias("r"))
+    users, provinces = jobs.dims_from(dims)(spark)
+    none = F.lit(None).cast("string")
+    return (
+        facts.select("topic", F.col("r.id").alias("id"), F.col("r.create_time").alias("detail"))
+        .unionByName(users.select(F.lit("USER_INFO").alias("topic"), "id", F.concat_ws("|", "gender", "birthday").alias("detail")))
+        .unionByName(provinces.select(F.lit("BASE_PROVINCE").alias("topic"), "id", F.coalesce("name", none).alias("detail")))
+    )
+
+
 def stream_change_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job 2 over order and customer changes: fact topics and current dimension rows, counted."""
     work = work_dir(spark, "change-split")
     no_seq = F.lit(None).cast("bigint").alias("seq")
-    facts = samples.order_changes(_stream(spark, sf_dir, "orders"), keep=("arrived", no_seq))
-    users = samples.user_changes(_stream(spark, sf_dir, "customer"), keep=("arrived",))
+    facts = samples.order_changes(_stream(spark, sf_dir, "orders"), keep=("appended", no_seq))
+    users = samples.user_changes(_stream(spark, sf_dir, "customer"), keep=("appended",))
     raw = facts.unionByName(users)
     dims = jobs.dim_table(f"{work}/dims")
     sink = TopicSink(path=f"{work}/topics")
@@ -126,6 +163,37 @@ def stream_dau_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*DAU_WIDE.fieldNames(), "dim_miss")
 
 
+def stream_dau_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job 3 over several micro-batches, with a lost checkpoint and a batch that is run twice: the batch result.
+
+    The page topic is written in two halves of four files.  The first run reads one half, two files at a time.  The
+    second has no checkpoint, so it begins anew and reads both; then its last commit is lost, and its last batch runs again.
+    """
+    work = work_dir(spark, "dau-restart")
+    table, topic = jobs.dau_table(f"{work}/table"), f"{work}/pages"
+    pages = batch.routed_logs(spark, sf_dir).where(F.col("topic") == TOPIC_PAGE).select("topic", "key", "value")
+
+    def publish(half: int) -> None:
+        here = F.pmod(F.xxhash64("key"), F.lit(2)) == half
+        pages.where(here).repartition(4).write.mode("append").parquet(topic)
+
+    def run(checkpoint: str) -> None:
+        source = TopicSource(TOPIC_PAGE, path=topic, max_per_trigger=2)
+        query = jobs.start_dau(
+            read_topic(spark, source), _dims(sf_dir), table, Run(checkpoint, ONCE), first="event_time", delay="3650 days", as_of=samples.AS_OF
+        )
+        query.awaitTermination()
+
+    with settings(spark, _state(spark)):
+        publish(0)
+        run(f"{work}/first")
+        publish(1)
+        run(f"{work}/second")
+        drop_newest(spark, f"{work}/second/commits")
+        run(f"{work}/second")
+    return table.read(spark).select(*DAU_WIDE.fieldNames(), "dim_miss")
+
+
 def dau_day_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One field of one day, read from the day's folder of a compacted table."""
     work = work_dir(spark, "dau-index")

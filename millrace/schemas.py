@@ -93,6 +93,7 @@ START_FIELDS = {
 
 # Output of this package only: records that could not be split.
 TOPIC_LOG_REJECT = "ODS_LOG_REJECT"
+TOPIC_DB_REJECT = "ODS_DB_REJECT"
 
 # ---------------------------------------------------------------------------
 # Raw inputs

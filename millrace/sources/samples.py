@@ -105,6 +105,20 @@ def with_damage(logs: DataFrame) -> DataFrame:
     return logs.withColumn("value", value)
 
 
+def with_faults(records: DataFrame, faults: dict[int, tuple[str, str]]) -> DataFrame:
+    """The same records, some without a value or cut short; a fault puts a text for a pattern where its number divides the key."""
+    n = F.col("key").cast("bigint")
+    value = F.when(n % 7 == 0, F.expr("substr(value, 1, length(value) - 5)")).when(n % 11 == 0, F.lit(None).cast("string"))
+    for number, (pattern, text) in faults.items():
+        value = value.when(n % number == 0, F.regexp_replace("value", pattern, text))
+    return records.withColumn("value", value.otherwise(F.col("value")))
+
+
+CHANGE_FAULTS = {13: ('"table":', '"tbl":'), 17: ('"data":', '"row":')}
+PAGE_FAULTS = {13: ('"during_time":[0-9]+', '"during_time":"long"'), 17: ('"ts":[0-9]+', '"ts":99999999999999')}
+HEADER_FAULTS = {13: ('"total_amount":[^,}]+', '"total_amount":"much"')}
+
+
 def users_json(customers: DataFrame) -> DataFrame:
     """``customer`` as rows of the user dimension: ``(dim, id, data)``."""
     return _dim("USER_INFO", customers, "c_custkey", _user_image(F.col("c_custkey")))

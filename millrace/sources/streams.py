@@ -5,15 +5,19 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.tables import is_folder, spread
 
-#: Columns every stream is normalised to.  ``arrived`` is the record's append time
-#: (broker time stamp or file time), the clock of the 24 hour tolerance.
+#: Columns every stream is normalised to.  ``arrived`` is the clock of the 24 hour tolerance.
+#: ``appended`` is the time the source noted (broker time stamp or file time) and only orders records.
 #: ``seq`` is the offset within a broker partition, null for folders.
-RECORD_COLUMNS = ("key", "value", "arrived", "seq")
+RECORD_COLUMNS = ("key", "value", "arrived", "appended", "seq")
+
+
+#: ``timestampType`` of records that the broker stamped itself.
+LOG_APPEND_TIME = 1
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,22 @@ class TopicSource:
     #: Least number of read tasks; more than the topic's partitions splits large ones.
     min_partitions: int | None = None
     options: dict[str, str] = field(default_factory=dict)
+    #: JN-9, ST-6: what ``arrived`` is.  ``read``: the micro-batch that first read the record.
+    #: ``append``: its append time, where the source vouches for it; a time stamp that the producer set does not count.
+    clock: str = "read"
+
+
+def read_clock() -> Column:
+    """The time of the micro-batch: one for all its records, noted beside its offsets, so a batch that is run again keeps it."""
+    return F.current_timestamp()
+
+
+def _arrived(clock: str, appended: Column, vouched: Column | None = None) -> Column:
+    if clock == "read":
+        return read_clock()
+    if clock != "append":
+        raise ValueError("clock must be 'read' or 'append'")
+    return appended if vouched is None else F.when(vouched, appended).otherwise(read_clock())
 
 
 def kafka_options(source: TopicSource) -> dict[str, str]:
@@ -61,13 +81,14 @@ def kafka_options(source: TopicSource) -> dict[str, str]:
 
 
 def read_topic(spark: SparkSession, source: TopicSource) -> DataFrame:
-    """SRC-1..5: a stream of ``(key, value, arrived, seq)`` with text key and value."""
+    """SRC-1..5: a stream of ``RECORD_COLUMNS`` with text key and value."""
     if source.servers:
         records = spark.readStream.format("kafka").options(**kafka_options(source)).load()
         return records.select(
             F.col("key").cast("string").alias("key"),
             F.col("value").cast("string").alias("value"),
-            F.col("timestamp").alias("arrived"),
+            _arrived(source.clock, F.col("timestamp"), F.col("timestampType") == LOG_APPEND_TIME).alias("arrived"),
+            F.col("timestamp").alias("appended"),
             F.col("offset").alias("seq"),
         )
     if not source.path:
@@ -75,19 +96,20 @@ def read_topic(spark: SparkSession, source: TopicSource) -> DataFrame:
     reader = spark.readStream.options(**source.options)
     if source.max_per_trigger:
         reader = reader.option("maxFilesPerTrigger", source.max_per_trigger)
-    arrived = F.col("_metadata.file_modification_time").alias("arrived")
+    written = F.col("_metadata.file_modification_time")
+    times = _arrived(source.clock, written).alias("arrived"), written.alias("appended")
     seq = F.lit(None).cast("bigint").alias("seq")
     if source.text:
         lines = reader.text(source.path)
-        return lines.select(F.lit(None).cast("string").alias("key"), "value", arrived, seq)
+        return lines.select(F.lit(None).cast("string").alias("key"), "value", *times, seq)
     records = reader.schema("key string, value string, topic string").parquet(source.path)
-    return records.where(F.col("topic") == source.topic).select("key", "value", arrived, seq)
+    return records.where(F.col("topic") == source.topic).select("key", "value", *times, seq)
 
 
 def read_table_stream(
     spark: SparkSession, path: str, *, max_files: int | None = None
 ) -> DataFrame:
-    """A parquet table as a stream, with ``arrived``; its schema is read once."""
+    """A parquet table as a stream, with ``arrived`` (when it was read) and ``appended``; its schema is read once."""
     read = spark.read.parquet(path)
     reader = spark.readStream.schema(read.schema)
     if max_files:
@@ -96,5 +118,6 @@ def read_table_stream(
         # A file stream watches folders; a table of one file is picked by name.
         path, _, name = path.rpartition("/")
         reader = reader.option("pathGlobFilter", name)
-    rows = reader.parquet(path).withColumn("arrived", F.col("_metadata.file_modification_time"))
+    written = F.col("_metadata.file_modification_time")
+    rows = reader.parquet(path).withColumns({"arrived": read_clock(), "appended": written})
     return spread(rows, read)

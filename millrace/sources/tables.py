@@ -62,6 +62,14 @@ def sub_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(location) if s.isDirectory())
 
 
+def drop_newest(spark: SparkSession, path: str) -> None:
+    """Deletes the file with the highest number for a name: a lost commit of a query's checkpoint."""
+    files, location = _locate(spark, path)
+    numbers = [int(s.getPath().getName()) for s in files.listStatus(location) if s.getPath().getName().isdigit()]
+    if numbers:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{max(numbers)}"), False)
+
+
 def table_names(spark: SparkSession, names: list[str]) -> DataFrame:
     """A table list as the one-column frame the change split expects (SRC-7)."""
     return spark.createDataFrame([(n,) for n in names], "table_name string")

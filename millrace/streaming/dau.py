@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import day_start
@@ -11,6 +11,13 @@ from millrace.functions.dates import day_start
 #: dropped and later rows for them are not taken (D9).
 DELAY = "24 hours"
 SALTS = 8
+#: ST-2, D9: how far a row may be dated after its arrival.  The watermark follows the latest day, so a clock
+#: that runs ahead would close all real ones.
+AHEAD = "24 hours"
+
+
+def plausible(ahead: str, arrived: Column) -> Column:
+    return F.coalesce(F.col("ts") <= F.unix_millis(arrived + F.expr(f"INTERVAL {ahead}")), F.lit(True))
 
 
 def _dated(pages: DataFrame, delay: str) -> DataFrame:

@@ -23,6 +23,7 @@ from millrace.schemas import DAU_WIDE, ORDER_DETAIL, ORDER_INFO, ORDER_WIDE, PAG
 from millrace.session import adaptive
 from millrace.sinks.topics import TopicSink, batch_to_topics, stream_to_topics
 from millrace.sinks.upserts import KeyedTable, run_version
+from millrace.sources.streams import read_clock
 from millrace.sources.tables import exists
 from millrace.streaming import dau as dau_state
 from millrace.streaming import orders as order_state
@@ -125,27 +126,37 @@ def start_log_split(raw: DataFrame, sink: TopicSink, run: Run) -> StreamingQuery
 
 
 def start_change_split(
-    raw: DataFrame, sink: TopicSink, dims: KeyedTable, tables: TableLists, run: Run
+    raw: DataFrame,
+    sink: TopicSink,
+    dims: KeyedTable,
+    tables: TableLists,
+    run: Run,
+    *,
+    rejects: TopicSink | None = None,
 ) -> StreamingQuery:
     """Job 2: change records to fact topics and to the dimension table (RTE-2, ST-7).
 
-    ``raw`` needs ``arrived`` and ``seq`` (null where the source has no offsets).
+    ``raw`` needs ``appended`` and ``seq`` (null where the source has no offsets).  Unusable records go to the
+    topic ``ODS_DB_REJECT`` of ``rejects``: unless given, the same broker, or a folder beside that of ``sink``.
     """
+    rejects = rejects or (TopicSink(path=f"{sink.path}-rejects") if sink.path else sink)
     generation = dims.next_run(raw.sparkSession, run.checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with adaptive(batch.sparkSession) as spark:
             fact_names, dim_names = tables(spark)
             position = F.coalesce("seq", F.monotonically_increasing_id())
-            ordered = batch.withColumn("seq", F.struct("arrived", position))
-            # Both outputs come from one read and one parse of the batch.
-            changed = cdc.changes(ordered, keep=("seq",)).persist()
+            ordered = batch.withColumn("seq", F.struct(F.col("appended").alias("arrived"), position))
+            # All outputs come from one read and one parse of the batch.
+            records = cdc.judged(ordered, keep=("seq",)).persist()
             try:
+                changed = cdc.wanted(records)
                 version = run_version(generation, batch_id)
+                batch_to_topics(cdc.reject_records(records), rejects, version)
                 batch_to_topics(cdc.fact_records(changed, fact_names), sink, version)
                 run.store(dims, cdc.dim_changes(changed, dim_names, keep=("seq",)), generation, batch_id)
             finally:
-                changed.unpersist()
+                records.unpersist()
 
     return run.start(raw.writeStream.foreachBatch(write))
 
@@ -162,17 +173,26 @@ def start_dau(
     salts: int = dau_state.SALTS,
     as_of: str | date | None = None,
     on_miss: str = "null",
+    ahead: str = dau_state.AHEAD,
+    bound: bool = False,
 ) -> StreamingQuery:
     """Job 3: page-log topic to the daily-active table.
 
     ``first="arrival"`` emits each device once per day, whichever row came first;
     ``first="event_time"`` converges on the earliest row for any arrival order.
+    Rows dated more than ``ahead`` after their arrival are left out and counted (``implausible``): one of them
+    would close all real days.  ``bound``: ``raw`` comes from an ingest log, which keeps such rows as rejects.
     """
     spark = raw.sparkSession
     generation = table.next_run(spark, run.checkpoint)
-    pages = dau.session_starts(bind(raw, PAGE_LOG))
+    clock = () if "arrived" not in raw.columns else ("arrived",)
+    records = raw if bound else bind(raw, PAGE_LOG, keep=clock)
+    pages = dau.session_starts(records)
     no_device = F.count_if(F.col("mid").isNull()).alias("no_device")
-    pages = pages.observe("before", F.count(F.lit(1)).alias("n_rows"), no_device)
+    plausible = dau_state.plausible(ahead, F.col("arrived") if clock else read_clock())
+    implausible = F.count_if(~plausible).alias("implausible")
+    pages = pages.observe("before", F.count(F.lit(1)).alias("n_rows"), no_device, implausible)
+    pages = pages.where(plausible).select(*PAGE_LOG.fieldNames())
     if first == "arrival":
         firsts, mode = dau_state.first_arrived(pages, delay=delay, salts=salts), "append"
     elif first == "event_time":
@@ -222,16 +242,21 @@ def start_order_wide(
     salts: int = order_state.SALTS,
     as_of: str | date | None = None,
     on_miss: str = "null",
+    bound: bool = False,
 ) -> StreamingQuery:
     """Job 4: order-header and order-line topics to the order-wide table.
 
+    ``bound``: both inputs come from ingest logs.
+
     ``cached=True`` keeps the sides in an expiring cache (:func:`join_cached`)
     instead of the join's own state.
     """
     spark = raw_headers.sparkSession
     generation = table.next_run(spark, run.checkpoint)
-    headers = orders.with_create_parts(bind(raw_headers, ORDER_INFO, keep=("arrived",)))
-    lines = bind(raw_lines, ORDER_DETAIL, keep=("arrived",))
+    if not bound:
+        raw_headers = bind(raw_headers, ORDER_INFO, keep=("arrived",))
+        raw_lines = bind(raw_lines, ORDER_DETAIL, keep=("arrived",))
+    headers, lines = orders.with_create_parts(raw_headers), raw_lines
     if cached:
         joined = order_state.join_cached(headers, lines, salts=salts)
     else:
