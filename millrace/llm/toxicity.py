@@ -192,8 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[float,
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = toxic.where(share < F.when(F.col("toxic") == 1, min(1.0, MOST_LABELLED / sizes[1])).otherwise(
         min(1.0, MOST_LABELLED / sizes[0])))
+    # About 2 * MOST_LABELLED ids at most, so they go to the texts: only texts of the sample are shuffled, and kept for both passes.
+    sample = F.broadcast(stored(sample, "labelled-ids"))
     rows = docs.select("doc_id", utf8(docs, "text").alias("text")).join(sample, "doc_id")
-    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies do not vote
+    rows = stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled-texts")  # copies do not vote
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, counts = Restorer(costs), (Counter(), Counter())
