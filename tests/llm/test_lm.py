@@ -1,0 +1,170 @@
+"""The language model: gradients, masks, windows, and scores against loops over words and ids."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from millrace.llm import attention, lm_score
+from millrace.llm.attention import Attention, Params, Shape, classes, inputs_of, windows
+from millrace.llm.pieces import load_tokenizer
+from millrace.llm.queries import VOCABULARY
+
+TINY = Shape(window=6, scored=4, dims=3, hidden=5, groups=3, members=4)
+PATH = public_tokenizers.path(VOCABULARY)
+SCHEMA = "doc_id bigint, text string, word string, slice int, score string"
+
+
+def model_of(shape, seed=0, size=None):
+    draw = np.random.default_rng(seed)
+    p = Params.start(shape, classes(draw.integers(0, 50, size or shape.classes), shape).bias)
+    return Params({n: v + draw.normal(0, 0.3, v.shape) for n, v in p.items()})
+
+
+def batch_of(lens, seed=1, shape=TINY):
+    lens = np.array(lens)
+    ids = np.random.default_rng(seed).integers(0, shape.classes, lens.sum())
+    x, inside, y, scored = next(windows(lens, shape, 1000))
+    return inputs_of(ids, lens, shape.classes)[x], inside, ids[y], scored, ids
+
+
+def slow(p, shape, ids, t):
+    """The probability of ``ids[t]``, step by step, from the inputs of its window."""
+    inputs = [shape.classes, *ids]
+    first = max(0, t // shape.scored * shape.scored - (shape.window - shape.scored))
+    here, e = range(first, t + 1), p["in"]
+    q = e[inputs[t]] @ p["query"] / math.sqrt(shape.dims)
+    w = np.array([q @ (e[inputs[k]] @ p["key"]) + p["far"][t - k] for k in here])
+    w = np.exp(w - w.max())
+    h = e[inputs[t]] + sum(a * (e[inputs[k]] @ p["value"]) for a, k in zip(w / w.sum(), here, strict=True))
+    a, b = divmod(int(ids[t]), shape.members)
+    group = np.maximum(h @ p["group_in"] + p["group_at"], 0) @ p["group_out"] + p["group_bias"]
+    member = np.maximum(h @ p["member_in"] + p["member_at"][a], 0) @ p["member_out"] + p["member_bias"][a]
+    return group[a] - np.log(np.exp(group).sum()) + member[b] - np.log(np.exp(member).sum())
+
+
+def test_each_id_is_scored_once_as_step_by_step():
+    lens = [7, 1, 0, 12, 3]
+    p = model_of(TINY)
+    x, inside, y, scored, ids = batch_of(lens)
+    assert scored.sum() == len(ids)
+    want = [slow(p, TINY, part, t) for part in np.split(ids, np.cumsum(lens)[:-1]) for t in range(len(part))]
+    assert np.allclose(Attention(p, TINY).log_probabilities(x, inside, y, scored), want, atol=1e-5)
+
+
+def test_later_ids_and_other_texts_do_not_show():
+    p = model_of(TINY)
+    x, inside, y, scored, ids = batch_of([9, 9])
+    before = Attention(p, TINY).log_probabilities(x, inside, y, scored)
+    changed = ids.copy()
+    changed[5:9] = (changed[5:9] + 1) % TINY.classes
+    xs, _, ys, _ = next(windows(np.array([9, 9]), TINY, 1000))
+    after = Attention(p, TINY).log_probabilities(inputs_of(changed, np.array([9, 9]), TINY.classes)[xs], inside, changed[ys], scored)
+    assert np.allclose(before[:5], after[:5]) and np.allclose(before[9:], after[9:]) and not np.allclose(before[5:9], after[5:9])
+
+
+def test_gradients():
+    p = model_of(TINY)
+    x, inside, y, scored, _ = batch_of([7, 1, 0, 12, 3])
+    _, g = Attention(p, TINY).gradients(x, inside, y, scored)
+    draw = np.random.default_rng(5)
+    for name, value in p.items():
+        for _ in range(4):
+            at = tuple(draw.integers(0, k) for k in value.shape)
+            old, losses = value[at], []
+            for step in (1e-5, -1e-5):
+                value[at] = old + step
+                losses.append(Attention(p, TINY).gradients(x, inside, y, scored)[0])
+            value[at] = old
+            assert g[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-5, abs=2e-5)
+
+
+def test_probabilities_sum_to_one():
+    shape, counts = TINY, np.random.default_rng(2).integers(0, 9, 40)
+    of = classes(counts, shape)
+    assert np.isclose(np.exp(of.bias).sum(), 1)
+    p = model_of(shape)
+    total = 0.0
+    for i in range(40):
+        ids = np.array([3, 1, of.of[i]])
+        x, inside, y, scored = next(windows(np.array([3]), shape, 9))
+        logs = Attention(p, shape).log_probabilities(inputs_of(ids, np.array([3]), shape.classes)[x], inside, ids[y], scored)
+        total += math.exp(logs[2] + of.share[i])
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_training_lowers_the_loss():
+    ids = np.tile([1, 2, 3, 4, 5], 60)
+    x, inside, y, scored = next(windows(np.array([300]), TINY, 1000))
+    x, y = inputs_of(ids, np.array([300]), TINY.classes)[x], ids[y]
+    p = Params.start(TINY, classes(np.bincount(ids, minlength=12), TINY).bias)
+    first = None
+    for n in range(30):
+        p, loss = attention.fit(p, TINY, x, inside, y, scored, 0.03, 16, n)
+        first = first or loss
+    assert loss < 0.3 * first
+
+
+TEXTS = [None, "", "  \n\t ", "The cat saw the Cat.", "the", "É the  über-cat\vTHE", "zzqx " * 3000, "a" * 5000, "  odd space \x1c the"]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "clash", 1, "clash") for i, t in rows], SCHEMA).repartition(3)
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+SMALL = lm_score.Training(windows=200, passes=1)
+
+
+def check(rows, got):
+    train = [words_of(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in t)
+    ends, n, v = len(train), sum(counts.values()) + len(train), len(counts) + (len(train) > 0)
+    want = []
+    for i, t in rows:
+        tokens = [counts[w] for w in words_of(t)] + [ends]
+        held = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+        want.append((i, held, len(tokens), sum(c > 0 for c in tokens), n, round(sum(math.log10((c + 1) / (n + v + 1)) for c in tokens), 4)))
+    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got), key=str) == sorted(want, key=str)
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_scores_of_odd_rows(spark, monkeypatch):
+    rows = [*enumerate(TEXTS), (3, TEXTS[3]), (3, "other the"), (None, "the cat"), (None, "the cat"), *((100 + i, f"the cat w{i % 9} saw") for i in range(60))]
+    got = lm_score.score(frame(spark, rows), PATH, training=SMALL).collect()
+    check(rows, got)
+    again = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm_score.score(frame(spark, rows), PATH, training=SMALL).collect()}
+    assert all(again[r["doc_id"], r["n_tokens"]] == pytest.approx(r["score"], abs=1e-3) for r in got)
+
+
+def test_without_training_documents_and_without_documents(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    rows = [(i, "some words") for i in held]
+    check(rows, lm_score.score(frame(spark, rows), PATH, training=SMALL).collect())
+    assert lm_score.score(frame(spark, []), PATH, training=SMALL).count() == 0
+
+
+def test_score_is_that_of_the_texts_ids(spark):
+    """Without training, the model is the ids' smoothed frequencies, ends included."""
+    rows = [(100 + i, f"the cat w{i % 9} saw.") for i in range(40)]
+    none = lm_score.Training(windows=0)
+    tokenizer = load_tokenizer(PATH)
+    encoded = {i: tokenizer.encode(t.lower(), add_special_tokens=False).ids + [lm_score.vocabulary_size(PATH)] for i, t in rows}
+    counts = Counter(x for i, ids in encoded.items() if zlib.crc32(str(i).encode()) % 7 != 2 for x in ids)
+    of = classes(np.array([counts[k] for k in range(lm_score.vocabulary_size(PATH) + 1)]), Shape())
+    start = Attention(Params.start(Shape(), of.bias), Shape())
+    for r in lm_score.score(frame(spark, rows), PATH, training=none).collect():
+        ids = np.array(encoded[r["doc_id"]])
+        x, inside, y, scored = next(windows(np.array([len(ids)]), Shape(), 99))
+        classed = of.of[ids]
+        logs = start.log_probabilities(inputs_of(classed, np.array([len(ids)]), Shape().classes)[x], inside, classed[y], scored)
+        assert r["score"] == pytest.approx((logs.sum() + of.share[ids].sum()) / math.log(10), abs=1e-3)
