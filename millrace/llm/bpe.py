@@ -197,6 +197,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["key", "ids"])
+        bpe.cache.clear()  # the worker may serve other stages next
 
     source = docs.select(docs[key].alias("key"), utf8(docs, text).alias("text"))
     return source.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
