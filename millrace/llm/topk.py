@@ -1,6 +1,6 @@
 """Exact top-k search by Fagin's threshold algorithm.
 
-Candidates are dealt into blocks by a hash of their id.  A block keeps, for every
+Candidates are dealt into blocks by a hash of their row.  A block keeps, for every
 dimension, its candidates sorted by that component.  For a query the lists are read
 in step, from the end at which the query's component gains most; each id met is
 scored in full; reading stops when the score that the components at the present depth
@@ -90,14 +90,14 @@ def top_k(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best other rows by integer inner product.
 
     Rows whose ``vec_id`` or ``embedding`` is null, or holds null or non-finite components, take no part.  Shorter
-    vectors count as zeros in the dimensions they lack.  Rows that repeat a ``vec_id`` count once, as the one with the
-    smallest components.  Ties go to the smaller id; scores are held to the range of a long and ranked so.
+    vectors count as zeros in the dimensions they lack.  Rows that repeat a ``vec_id`` are all candidates of other ids, and as
+    queries they share one list of k.  Ties go to the smaller id; scores are held to the range of a long and ranked so.
     """
     valid = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = valid.groupBy("vec_id").agg(F.min(quantised(F.col("embedding"))).alias("v"))
+    rows = valid.select("vec_id", quantised(F.col("embedding")).alias("v"))
     n, n_queries = valid.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     blocks, batches = -(-max(n, 1) // CANDIDATES), -(-max(n_queries, 1) // QUERIES)
-    spread = F.xxhash64("vec_id")
+    spread = F.xxhash64("vec_id", "v")  # also deals out the rows of one repeated id
     block, batch = F.pmod(spread, F.lit(blocks)), F.pmod(spread, F.lit(batches))
     candidates = rows.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), "vec_id", "v")
     queries = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), batch.alias("batch"), "vec_id", "v")
