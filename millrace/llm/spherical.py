@@ -7,13 +7,14 @@ a cell meet each other and its guests in blocks of bounded size; a pair that mee
 two cells counts in one.  What leaves a block is, for each class, its number of links
 and the smallest class of its component there, never pairs.
 
-A pair at the threshold is missed only if both stand further than ``margin`` from the border
-between them.  In d dimensions the distance across a border is sin(angle) / sqrt(d) for a change
-in any direction, so ``MARGIN`` has room for several times that; recall is measured in the tests.
+No pair is missed: unit vectors at a cosine of c are at most sqrt(2 - 2c) apart, so of two on either side of the
+border between their cells one lies within half of that, sqrt((1 - c) / 2), of it, and is a guest of the other's cell.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -24,7 +25,8 @@ from millrace.llm.common import stored
 from millrace.llm.components import components
 from millrace.llm.topk import usable
 
-MARGIN = 0.1
+#: Added to the margin for rounding.
+SLACK = 1e-6
 #: Classes that the centres are fitted on, by a hash of their id; all classes are indexed.
 SAMPLE = 8_192
 PER_CELL, MOST_CELLS = 2_000, 512
@@ -118,7 +120,11 @@ def _compare(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, margin: float = MARGIN) -> DataFrame:
+def exact_margin(cosine: float) -> float:
+    return math.sqrt((1 - cosine) / 2) + SLACK
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row.
 
     ``n_links``: other rows at this cosine or above; ``component_id``: smallest id reachable by links;
@@ -132,7 +138,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, margin: float = MA
     rows = vectors.select("vec_id", F.when(fit_for, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
     classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = stored(classes, "vector-classes")
-    found = [_by_width(classes.where(F.size("v") == row["w"]), row["n"], cosine, margin)
+    found = [_by_width(classes.where(F.size("v") == row["w"]), row["n"], cosine)
              for row in classes.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()]
     links = found[0] if found else classes.select("rep", F.col("n").alias("links"), F.col("rep").alias("low")).limit(0)
     for more in found[1:]:
@@ -149,10 +155,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, margin: float = MA
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _by_width(classes: DataFrame, n: int, cosine: float, margin: float) -> DataFrame:
+def _by_width(classes: DataFrame, n: int, cosine: float) -> DataFrame:
     sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     centres = fit(_dense(sample), min(MOST_CELLS, max(1, n // PER_CELL)))
-    placed = stored(_cells(classes, centres, margin), "vector-cells")
+    placed = stored(_cells(classes, centres, exact_margin(cosine)), "vector-cells")
     homes = {r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
     guests = {r["cell"]: r["n"] for r in placed.select(F.explode("guests").alias("cell")).groupBy("cell")
               .agg(F.count(F.lit(1)).alias("n")).collect()}
