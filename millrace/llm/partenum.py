@@ -8,10 +8,11 @@ enumerates the next band if a partner may be there.
 P follows from the band.  Two sets of a union of u at similarity t differ in at most (1 - t) u
 shingles, which the hash deals out; that a part has shingles and none of the differing has the chance
 q = exp(-(1 - t) u / P) - exp(-u / P), and P is the least for which (1 - q) ** P, the chance of no such
-part, is below ``MISS``, for the largest u of the band.  In bands too small for that each shingle is a part of its own, and a
+part, is below ``MISS``, for the largest and the smallest u of the band (it is less in between).  In bands too small for that each shingle is a part of its own, and a
 shared one is certain.
 
-Sets are compared as classes of equal sets.  Each signature's classes are first
+Sets are compared as classes of equal sets, which are named by a 64-bit hash of the set, as are shingles; ids come in at the
+end, where classes that one id has are tied.  Each signature's classes are first
 compared with one of them only; what that links needs no further comparison.  Then
 classes that share a signature but no component are compared, in blocks of bounded size.  Before whole
 sets are fetched, their parity maps are: bit h mod b of the sum of all shingles h.  Maps of two sets differ in no more
@@ -55,11 +56,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def band_parts(band: int, percent: int = PERCENT) -> int:
     """Parts of the domain for sets of RATIO ** band shingles and more; 0: each shingle is a part of its own."""
     t = percent / 100
-    union = 2 * RATIO ** (band + 1) / (1 + t)  # of the largest two sets that just link
+    largest = 2 * RATIO ** (band + 1) / (1 + t)  # union of the largest two sets that just link
     parts = 2
-    while parts < union:
-        untouched = math.exp((t - 1) * union / parts) - math.exp(-union / parts)  # and not empty
-        if (1 - untouched) ** parts <= MISS:
+    while parts < largest:
+        untouched = [math.exp((t - 1) * u / parts) - math.exp(-u / parts) for u in (RATIO**band, largest)]  # and not empty
+        if (1 - min(untouched)) ** parts <= MISS:
             return parts
         parts += max(1, parts // 50)
     return 0
@@ -137,26 +138,39 @@ def apart(x: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(many ^ x).sum(axis=1, dtype=np.int64)
 
 
+def text_key() -> F.Column:
+    """Tells the texts of one repeated id apart."""
+    return F.xxhash64("text")
+
+
+def class_key() -> F.Column:
+    return F.xxhash64("set_key")
+
+
 def most_apart(n, m):
     """Shingles in which two linked sets of these sizes differ, at most."""
     return (n + m) * (100 - PERCENT) // (100 + PERCENT)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_key, sigs, bits`` of every row; equal sets have equal keys."""
+    """``doc_id, text_key, n_shingles, set_key, sigs, bits`` of every row; equal sets have equal keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in row_slices(batches, 1_000, "text", 4_000_000):
             sets = shingler.sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(map(len, sets), pa.int64()),
+                batch.column("doc_id"), batch.column("text_key"), pa.array(map(len, sets), pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([signatures(s) for s in sets], pa.list_(pa.int64())),
                 pa.array([parity(s).tobytes() for s in sets], pa.binary()),
-            ], ["doc_id", "n_shingles", "set_key", "sigs", "bits"])
+            ], ["doc_id", "text_key", "n_shingles", "set_key", "sigs", "bits"])
 
-    source = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), utf8(docs, "text").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, sigs array<bigint>, bits binary")
+    source = texts_of(docs).withColumn("text_key", text_key())
+    return source.mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, sigs array<bigint>, bits binary")
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), utf8(docs, "text").alias("text"))
 
 
 def _may_link(n: str, m: str) -> F.Column:
@@ -255,53 +269,65 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     Words are runs without white space, A-Z lower-cased; a text of one to four words is one shingle.  Two documents link
     when 100 * intersection >= 75 * union; ``component_id`` is the smallest id reachable by links.  Null and empty texts
-    have no shingles, link with nothing and are components of their own, as are rows without an id.  Rows that repeat an id
-    share its component.  Other columns are left out.
+    have no shingles, link with nothing and are components of their own, as are rows without an id.  Other rows that repeat an
+    id are one document with all their texts: each text's links count, and they share a component.  Other columns are left out.
     """
     sets = stored(shingle_sets(docs), "shingle-sets")
-    classes = (sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key")
-               .agg(F.min(F.struct("doc_id", "n_shingles", "sigs", "bits")).alias("c")))
-    rows = classes.select(F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), F.explode("c.sigs").alias("sig"))
+    named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = named.groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("sigs").alias("sigs"))  # equal in a class
+    rows = classes.select(class_key().alias("rep"), "n", F.explode("sigs").alias("sig"))
     group = Window.partitionBy("sig")
     shared = stored(rows.select(
         "sig", "rep", "n", F.min(F.struct("rep", "n")).over(group).alias("first"), F.count(F.lit(1)).over(group).alias("k")).where("k > 1"),
         "shared-signatures")
-    reps = stored(shared.groupBy("rep").agg(F.first("n").alias("n")), "candidates")
-    maps = stored(sets.select(F.col("doc_id").alias("rep"), "bits").join(reps, "rep").dropDuplicates(["rep"]), "parity-maps")
+    names = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("c"))
+    names = stored(names.select("set_key", class_key().alias("rep"), "c.doc_id", "c.text_key"), "classes")
+    reps = shared.groupBy("rep").agg(F.first("n").alias("n"))
+    reps = stored(names.select("rep", "doc_id", "text_key").join(reps, "rep"), "candidates")
+    maps = stored(sets.select("doc_id", "text_key", "bits").join(reps, ["doc_id", "text_key"]).select("rep", "n", "bits").dropDuplicates(["rep"]),
+                  "parity-maps")
     stars = shared.where(F.col("rep") != F.col("first.rep")).where(_may_link("n", "first.n"))
-    stars = stored(_near(stars.select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), maps), "stars")
-    links = _linked(docs, stars)
-    joined = stored(components(links), "star-components")
+    stars = stored(_near(stars.select(F.least("first.rep", "rep").alias("a"), F.greatest("first.rep", "rep").alias("b")).distinct(), maps), "stars")
+    links = _linked(docs, stars, reps)
+    joined = stored(components(links.union(_tied(named))), "star-components")
 
     known = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         "sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
     undecided = known.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("k")).where("low <> high")
     members = known.join(undecided.select("sig", "k"), "sig").join(maps.select("rep", "bits"), "rep")
     across = stored(_across(members).join(stars, ["a", "b"], "left_anti"), "across")
-    more = _linked(docs, across)
-    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    members = classes.select("set_key", F.col("c.doc_id").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    members = members.select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "set_key").join(members, "set_key", "left")
+    more = _linked(docs, across, reps)
+    final = stored(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    lowest = final.join(names.select(F.col("rep").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = final.join(lowest, "component").select(F.col("node").alias("rep"), "component_id")
+    classes = names.join(ids, "rep", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sets.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that are links; only the texts they name are fetched."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    named = _in_bitmap(docs.select(docs["doc_id"].cast("bigint").alias("rep"), utf8(docs, "text").alias("text")), ids)
-    texts = stored(named.join(ids, "rep").dropDuplicates(["rep"]), "candidate-texts")
-    return stored(_verify(pairs, texts).where("linked").select("a", "b"), "links")
+def _tied(named: DataFrame) -> DataFrame:
+    """Edges ``a, b`` between the classes that one id has: from each to the first of them."""
+    of = named.select("doc_id", class_key().alias("b")).distinct()
+    several = of.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("high")).where("a <> high")
+    return of.join(several.select("doc_id", "a"), "doc_id").where("a <> b").select("a", "b")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that are links; only the texts of the classes they name are fetched."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "doc_id", "text_key"), "rep")
+    named = _in_bitmap(texts_of(docs), ids.select("doc_id")).withColumn("text_key", text_key())
+    texts = named.join(ids, ["doc_id", "text_key"]).select("rep", "text").dropDuplicates(["rep"])
+    return stored(_verify(pairs, stored(texts, "candidate-texts")).where("linked").select("a", "b"), "links")
 
 
 def _in_bitmap(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``texts`` whose ``rep`` hashes to a bit that one of ``ids`` has set: all that a join would keep, and a few more.
+    """Rows of ``texts`` whose ``doc_id`` hashes to a bit that one of ``ids`` has set: all that a join would keep, and a few more.
 
     Spares the join most of the shuffle.  The bitmap has ``BITMAP`` bits whatever the input, so it is safe to broadcast.
     """
     spark = texts.sparkSession
-    bit = F.pmod(F.xxhash64("rep"), F.lit(BITMAP))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
     words = ids.withColumn("bit", bit).selectExpr("cast(bit div 64 AS int) AS word", "shiftleft(1L, cast(bit % 64 AS int)) AS bits")
     table = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP // 64, np.int64)
@@ -311,8 +337,8 @@ def _in_bitmap(texts: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("bit").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(sent.value[at >> 6] >> (at & 63) & 1 == 1)).select(["rep", "text"])
+            yield batch.filter(pa.array(sent.value[at >> 6] >> (at & 63) & 1 == 1)).select(["doc_id", "text"])
 
-    return texts.where("rep IS NOT NULL").withColumn("bit", bit).mapInArrow(run, "rep bigint, text binary")
+    return texts.where("doc_id IS NOT NULL").withColumn("bit", bit).mapInArrow(run, "doc_id bigint, text binary")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -20,12 +21,12 @@ def shingles(text):
 
 
 def by_hand(rows):
-    """Sizes and components of ``(doc_id, text)`` by all pairs."""
+    """Sizes and components of ``(doc_id, text)`` by all pairs; texts of one id are tied."""
     sets = [(i, shingles(t)) for i, t in rows]
     low = list(range(len(sets)))
     changed = True
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a][1] and sets[b][1]
-             and 100 * len(sets[a][1] & sets[b][1]) >= 75 * len(sets[a][1] | sets[b][1])]
+             and (sets[a][0] == sets[b][0] or 100 * len(sets[a][1] & sets[b][1]) >= 75 * len(sets[a][1] | sets[b][1]))]
     comp = [i for i, _ in sets]
     while changed:
         changed = False
@@ -69,12 +70,31 @@ def test_odd_rows_and_a_large_group(spark):
     check(spark, rows)
 
 
+def test_one_id_with_several_texts(spark):
+    draw = random.Random(9)
+    text = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e = (text(n) for n in (60, 70, 25, 40, 3))
+    start = lambda t: t.rsplit(" ", 2)[0]
+    rows = [(1, a), (1, b), (2, start(a)), (3, start(b)), (4, text(30)), (1, ""), (6, None)]
+    rows += [(9, c), (8, c), (8, d), (7, start(d)), (7, start(d)), (10, e), (10, text(12)), (5, e)]  # 5 to 10 by shared ids and texts
+    check(spark, rows)
+
+
+def test_parts_of_every_band():
+    """The chance of a miss stays below the bound over all unions of a band."""
+    for band in range(14):
+        p = partenum.band_parts(band)
+        assert p or band < 5
+        for u in np.linspace(2**band, 2 ** (band + 2) / 1.75, 40) if p else []:
+            assert (1 - (math.exp(-0.25 * u / p) - math.exp(-u / p))) ** p <= partenum.MISS
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert partenum.similar_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 13, 40, 100, 127, 128, 300, 1000, 5000])
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 13, 16, 20, 31, 40, 64, 100, 127, 128, 300, 1000, 5000])
 def test_similar_sets_share_a_signature(size):
     draw = np.random.default_rng(size)
     for _ in range(60 if size < 1000 else 10):
