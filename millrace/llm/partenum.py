@@ -13,7 +13,7 @@ shared one is certain.
 
 Sets are compared as classes of equal sets, which are named by a 64-bit hash of the set, as are shingles; ids come in at the
 end, where classes that one id has are tied.  Each signature's classes are first
-compared with one of them only; what that links needs no further comparison.  Then
+compared with one of them only, which shares most with others; what that links needs no further comparison.  Then
 classes that share a signature but no component are compared, in blocks of bounded size.  Before whole
 sets are fetched, their parity maps are: bit h mod b of the sum of all shingles h.  Maps of two sets differ in no more
 bits than the sets do in shingles, so what is ruled out by them is ruled out for certain.
@@ -276,10 +276,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("set_key").agg(F.first("n_shingles").alias("n"), F.first("sigs").alias("sigs"))  # equal in a class
     rows = classes.select(class_key().alias("rep"), "n", F.explode("sigs").alias("sig"))
-    group = Window.partitionBy("sig")
-    shared = stored(rows.select(
-        "sig", "rep", "n", F.min(F.struct("rep", "n")).over(group).alias("first"), F.count(F.lit(1)).over(group).alias("k")).where("k > 1"),
-        "shared-signatures")
+    sharing = stored(rows.select("sig", "rep", "n", F.count(F.lit(1)).over(Window.partitionBy("sig")).alias("k")).where("k > 1"),
+                     "shared-signatures")
+    shared = _led(sharing)
     names = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("c"))
     names = stored(names.select("set_key", class_key().alias("rep"), "c.doc_id", "c.text_key"), "classes")
     reps = shared.groupBy("rep").agg(F.first("n").alias("n"))
@@ -306,6 +305,18 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _led(sharing: DataFrame) -> DataFrame:
+    """``sharing`` (``sig, rep, n, k``) with each signature's ``first``: the class that shares most with others.
+
+    Copies of one text that each differ from it elsewhere are all near to the text but not to each other, so a class
+    taken by its hash would link few of them and leave the pairs of the rest to be compared.
+    """
+    weight = sharing.groupBy("rep").agg(F.sum("k").alias("weight"))
+    best = sharing.join(weight, "rep").groupBy("sig").agg(F.max(F.struct("weight", "rep", "n")).alias("best"))
+    first = best.select("sig", F.struct("best.rep", "best.n").alias("first"))
+    return stored(sharing.join(first, "sig"), "led-signatures")
+
+
 def _tied(named: DataFrame) -> DataFrame:
     """Edges ``a, b`` between the classes that one id has: from each to the first of them."""
     of = named.select("doc_id", class_key().alias("b")).distinct()
