@@ -117,6 +117,20 @@ def test_top_k_of_repeated_ids(spark, monkeypatch):
         assert (0, 1, 1, 196608) in got
 
 
+def test_top_k_by_row_lists_the_other_rows_of_an_id(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.25, 0.0]), (3, [0.0, 0.0]), (50, [0.0, 0.0]), (50, None)]
+    kept = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v is not None]
+    want = []
+    for at, (query, v) in enumerate(kept):
+        scored = [(-sum(a * b for a, b in zip(v, w)), other) for n, (other, w) in enumerate(kept) if n != at]
+        want += [(query, rank, other, -score) for rank, (score, other) in enumerate(sorted(scored)[:5], 1) if query % 50 == 0]
+    for blocks in ((8192, 1024), (2, 1)):
+        monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
+        monkeypatch.setattr(topk, "QUERIES", blocks[1])
+        got = topk.top_k(frame(spark, rows), 5, F.col("vec_id") % 50 == 0, by_row=True).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def over(rows):
     base = duckdb.connect()
     base.execute("CREATE TABLE repeated (vec_id BIGINT, embedding FLOAT[])")
