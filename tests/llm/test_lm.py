@@ -153,6 +153,36 @@ def test_without_training_documents_and_without_documents(spark):
     assert lm_score.score(frame(spark, []), PATH, training=SMALL).count() == 0
 
 
+def test_every_training_document_is_trained_on(spark, monkeypatch):
+    met = []
+    rows = [(i, f"the w{i} cat " * (1 + i % 5)) for i in range(90)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    tokenizer = load_tokenizer(PATH)
+    ids = sum(len(tokenizer.encode(t.lower(), add_special_tokens=False).ids) + 1 for i, t in rows if i not in held)
+    of = classes(np.ones(lm_score.vocabulary_size(PATH) + 1, np.int64), Shape())
+    learnt = spark.createDataFrame([(i, t) for i, t in rows if i not in held], "doc_id bigint, text string")
+    texts = [b for b in learnt.select(lm_score.utf8(learnt, "text").alias("text")).toArrow().to_batches()]
+    assert sum(int(scored.sum()) for _, _, _, scored in lm_score.examples(iter(texts), PATH, of, Shape())) == ids
+    monkeypatch.setattr(lm_score, "_round", lambda part, *rest: met.extend(r["text"] for r in part.collect()) or rest[3])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    lm_score.train(docs, PATH, of, Shape(), lm_score.Training(passes=1), ids)
+    assert sorted(bytes(t).decode() for t in met) == sorted(t for i, t in rows if i not in held)
+
+
+def test_a_round_takes_the_mean_of_its_partitions(spark):
+    of = classes(np.ones(lm_score.vocabulary_size(PATH) + 1, np.int64), Shape())
+    start = Params.start(Shape(), of.bias).row(Shape())
+    docs = spark.createDataFrame([("the cat " * 20,), ("a dog " * 30,)], "text string").selectExpr("cast(text as binary) AS text")
+
+    def end(df):
+        return lm_score._round(df, PATH, of, Shape(), start, 0.02, 64, 0)
+
+    alone = [end(docs.where(f"text LIKE '{w}%'").coalesce(1)) for w in ("the", "a")]
+    assert not np.allclose(alone[0], start)
+    sizes = [sum(len(x) for x, *_ in lm_score.examples(iter(docs.where(f"text LIKE '{w}%'").toArrow().to_batches()), PATH, of, Shape())) for w in ("the", "a")]
+    assert np.allclose(end(docs.repartitionByRange(2, "text")), (alone[0] * sizes[0] + alone[1] * sizes[1]) / sum(sizes), atol=1e-5)
+
+
 def test_score_is_that_of_the_texts_ids(spark):
     """Without training, the model is the ids' smoothed frequencies, ends included."""
     rows = [(100 + i, f"the cat w{i % 9} saw.") for i in range(40)]
