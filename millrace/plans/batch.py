@@ -22,7 +22,7 @@ from millrace.schemas import (
     TOPIC_PAGE,
 )
 from millrace.sources import samples
-from millrace.sources.tables import table, table_names
+from millrace.sources.tables import stored, table, table_names
 from millrace.streaming import ingest
 
 
@@ -266,8 +266,13 @@ def order_time_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _bound_once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Headers and lines, bound and written as typed records, for operators that read them more than once."""
+    return stored(headers(spark, sf_dir), "order-headers"), stored(lines(spark, sf_dir), "order-lines")
+
+
 def order_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = orders.full_outer(headers(spark, sf_dir), lines(spark, sf_dir))
+    joined = orders.full_outer(*_bound_once(spark, sf_dir))
     return joined.select(
         "header_id", "user_id", "header_create_time", "detail_id", "order_id", "sku_id", "detail_create_time"
     )
@@ -280,14 +285,15 @@ def order_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers without lines and lines without headers."""
-    return orders.unmatched(headers(spark, sf_dir), lines(spark, sf_dir))
+    return orders.unmatched(*_bound_once(spark, sf_dir))
 
 
 def order_wide_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line delivered twice; the second delivery has a new quantity and wins."""
     first = lines(spark, sf_dir)
-    again = first.withColumn("sku_num", F.col("sku_num") + 100)
-    delivered = first.withColumn("delivery", F.lit(1)).unionByName(again.withColumn("delivery", F.lit(2)))
+    # Both deliveries come from one parse of the line.
+    delivered = first.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    delivered = delivered.withColumn("sku_num", F.when(F.col("delivery") == 2, F.col("sku_num") + 100).otherwise(F.col("sku_num")))
     joined = orders.join_lines_on(
         orders.with_create_parts(headers(spark, sf_dir)), delivered, extra=("delivery",)
     )

@@ -9,6 +9,7 @@ from millrace.operators import cdc, dau, keyed, logs, orders
 from millrace.operators.dims import with_users
 from millrace.plans import batch
 from millrace.session import settings
+from millrace.sources import tables
 from millrace.sources.tables import table_names
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -58,6 +59,27 @@ def test_only_small_tables_are_spread_over_the_cores(spark, tmp_path):
         assert "Exchange" not in plan(batch.log_page(spark, str(tmp_path)))
 
 
+def test_large_tables_are_cut_into_pieces_of_one_size(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t.parquet")
+    spark.range(20_000).repartition(5).write.parquet(path)
+    read = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "t.parquet").glob("*.parquet"))
+    for pieces in (9, 18):
+        monkeypatch.setattr(tables, "PIECE_BYTES", -(-size // pieces))
+        cut = tables.spread(read, read)
+        assert cut.rdd.getNumPartitions() == pieces
+        assert cut.count() == 20_000
+
+
+def test_both_deliveries_of_a_line_come_from_one_parse(spark):
+    assert plan(batch.order_wide_replay(spark, SF_DIR)).count("from_json(") == 2
+
+
+@pytest.mark.parametrize("query", ["order_full_outer", "order_unmatched"])
+def test_records_that_are_read_twice_are_parsed_before(spark, query):
+    assert "from_json(" not in plan(getattr(batch, query)(spark, SF_DIR))
+
+
 def test_fact_routing_needs_no_shuffle_and_no_join(spark):
     text = plan(batch.cdc_fact_route(spark, SF_DIR))
     assert "Exchange hashpartitioning" not in text and "Join" not in text
