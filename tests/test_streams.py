@@ -8,6 +8,7 @@ import pytest
 
 from millrace.functions.json import bind
 from millrace.operators import dau
+from millrace.plans import streams
 from millrace.schemas import DAU_WIDE, PAGE_LOG, TOPIC_LOG_REJECT, TOPIC_PAGE
 from millrace.session import ROCKSDB, settings
 from millrace.sinks.topics import TopicSink
@@ -263,6 +264,20 @@ def test_replayed_lines_change_nothing_by_key(spark, drop_files, tmp_path):
     assert sorted(r.detail_id for r in table.read(spark).collect()) == [11, 12]
 
 
+def test_table_streams_store_the_changes_of_a_join_not_copies_of_its_state(spark, drop_files, tmp_path):
+    headers, lines = drop_files("h", [header(1)], [header(2)]), drop_files("l", [line(21, 2)], [line(11, 1)])
+    table = jobs.order_table(str(tmp_path / "t"))
+    with settings(spark, streams._state(spark)):
+        query = jobs.start_order_wide(
+            source(spark, headers), source(spark, lines), dims, table, Run(str(tmp_path / "cp"), ONCE), as_of=AS_OF
+        )
+        assert query.awaitTermination(180)
+    assert sorted((r.order_id, r.detail_id) for r in table.read(spark).collect()) == [(1, 11), (2, 21)]
+    state = tmp_path / "cp" / "state"
+    # The first batch is kept whole as well.
+    assert list(state.rglob("2.changelog")) and {f.name for f in state.rglob("*.zip")} == {"1.zip"}
+
+
 def test_header_sent_again_reaches_its_cached_lines(spark, drop_files, tmp_path):
     headers = drop_files("h", [], [header(1, total_amount=1.0)], [header(1, total_amount=2.0)])
     lines = drop_files("l", [line(11, 1), line(12, 1)])
