@@ -6,18 +6,22 @@ Refers to nothing else in this package, so it can be sent to Python workers whol
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class ArrivalCache(StatefulProcessor):
     """Keeps the header and the early lines of one order as opaque JSON text.
 
-    Rows are handled batch by batch and lines live in a map state, so an order of
-    any size is never held in memory at once.
+    Rows are handled chunk by chunk and lines live in a map state, so an order of
+    any size is never held in memory at once.  They come as plain rows: an order has
+    a few, and a pandas frame for each order costs more than its state.
     """
 
+    CHUNK = 10_000
+
     def __init__(self, ttl_ms: int | None):
         self._ttl_ms = ttl_ms
 
@@ -25,32 +29,24 @@ class ArrivalCache(StatefulProcessor):
         self._header = handle.getValueState("header", "record string", self._ttl_ms)
         self._lines = handle.getMapState("lines", "id string", "record string", self._ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         cached = self._header.get()
         header = cached[0] if cached else None
-        for chunk in rows:
-            is_header = chunk["line_id"].isna()
-            for record in chunk.loc[is_header, "record"]:
-                header = record
-                self._header.update((record,))
-                yield from self._pairs(header, (value[0] for _, value in self._lines.iterator()))
-            arrived = chunk.loc[~is_header]
-            if header is not None:
-                yield from self._pairs(header, arrived["record"])
-            else:
-                for line_id, record in zip(arrived["line_id"], arrived["record"]):
+        rows = ((row.line_id, row.record) for row in rows)
+        while chunk := list(islice(rows, self.CHUNK)):
+            for line_id, record in chunk:
+                if line_id is None:
+                    header = record
+                    self._header.update((record,))
+                    for _, value in self._lines.iterator():
+                        yield Row(header=header, line=value[0])
+            for line_id, record in chunk:
+                if line_id is None:
+                    continue
+                if header is not None:
+                    yield Row(header=header, line=record)
+                else:
                     self._lines.updateValue((line_id,), (record,))
 
-    @staticmethod
-    def _pairs(header: str, lines, size: int = 10_000) -> Iterator[pd.DataFrame]:
-        batch: list[str] = []
-        for line in lines:
-            batch.append(line)
-            if len(batch) == size:
-                yield pd.DataFrame({"header": header, "line": batch})
-                batch = []
-        if batch:
-            yield pd.DataFrame({"header": header, "line": batch})
-
     def close(self) -> None:
         pass

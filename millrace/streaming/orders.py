@@ -75,7 +75,7 @@ def join_cached(
     pairs = (
         left.unionByName(right)
         .groupBy("order_key", "salt")
-        .transformWithStateInPandas(
+        .transformWithState(
             ArrivalCache(ttl_ms),
             outputStructType="header string, line string",
             outputMode="Append",

@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from millrace.functions.json import bind
 from millrace.operators import dau
@@ -15,6 +16,7 @@ from millrace.sinks.topics import TopicSink
 from millrace.sources.streams import TopicSource, read_topic
 from millrace.sources.tables import table_names
 from millrace.streaming import jobs
+from millrace.streaming.arrival_cache import ArrivalCache
 from millrace.streaming.jobs import Run
 
 ONCE = {"availableNow": True}
@@ -356,3 +358,45 @@ def test_state_functions_keep_rows_without_device_out(spark, drop_files, tmp_pat
     table, query = run_dau(spark, path, tmp_path, "nodev")
     assert [r.mid for r in table.read(spark).collect()] == ["a"]
     assert jobs.observed(query, "before", "no_device") == 1
+
+
+def test_cached_join_takes_plain_rows_in_chunks(monkeypatch):
+    """An order costs no frame of its own, and one of any size is not gathered."""
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, new):
+            self.kept = new
+
+    class Lines(dict):
+        def iterator(self):
+            return iter(list(self.items()))
+
+        updateValue = dict.__setitem__
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getMapState(self, *_):
+            return Lines()
+
+    taken = []
+
+    def rows(*records):
+        for line_id, record in records:
+            taken.append(record)
+            yield Row(order_key=1, salt=0, line_id=line_id, record=record)
+
+    monkeypatch.setattr(ArrivalCache, "CHUNK", 2)
+    cache = ArrivalCache(None)
+    cache.init(Handle())
+    pairs = cache.handleInputRows((1, 0), rows(("1", "l1"), ("2", "l2"), ("3", "l3"), (None, "h1"), ("4", "l4")), None)
+    assert next(pairs) == Row(header="h1", line="l1")
+    assert taken == ["l1", "l2", "l3", "h1"]
+    assert [r.line for r in pairs] == ["l2", "l3", "l4"]
+    assert list(cache.handleInputRows((1, 0), rows(("5", "l5"), (None, "h2")), None)) == [
+        Row(header="h2", line=n) for n in ("l1", "l2", "l5")]
