@@ -100,15 +100,22 @@ def fact_topic() -> Column:
 
 
 def fact_records(
-    changed: DataFrame, fact_tables: DataFrame, *, key: str | None = None, keep: tuple[str, ...] = ()
+    changed: DataFrame,
+    fact_tables: DataFrame,
+    *,
+    key: str | None = None,
+    keep: tuple[str, ...] = (),
+    fields: tuple[str, ...] = (),
 ) -> DataFrame:
     """RTE-2, SNK-1, SNK-2: ``(topic, value)`` rows of fact tables.
 
-    ``key`` names a field of the row image to use as the record key.
+    ``key`` names a field of the row image to use as the record key; ``fields`` are others to give as columns.
+    The image is parsed once for all of them.
     """
     listed = keep_listed(changed, fact_tables)
-    keyed = [F.get_json_object("data", f"$.{key}").alias("key")] if key else []
-    return listed.select(*keep, fact_topic().alias("topic"), *keyed, F.col("data").alias("value"))
+    names = [*([key] if key else []), *fields]
+    read = [F.json_tuple("data", *names).alias(*(["key"] if key else []), *fields)] if names else []
+    return listed.select(*keep, fact_topic().alias("topic"), *read, F.col("data").alias("value"))
 
 
 def dim_changes(changed: DataFrame, dim_tables: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -164,12 +164,8 @@ def _quarantine(records: DataFrame, schema: T.StructType, gates: Sequence[ingest
 
 def cdc_fact_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = cdc.changes(change_feed(spark, sf_dir))
-    facts = cdc.fact_records(feed, fact_tables(spark), key="id")
-    return facts.select(
-        "topic",
-        "key",
-        F.get_json_object("value", "$.create_time").alias("create_time"),
-    )
+    facts = cdc.fact_records(feed, fact_tables(spark), key="id", fields=("create_time",))
+    return facts.select("topic", "key", "create_time")
 
 
 def cdc_fact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,11 @@ def test_delete_stores_the_image_and_the_last_one_wins(spark):
     log = cdc.dim_changes(changed, table_names(spark, ["user_info"]), keep=("seq",))
     users = user_dim(cdc.current_dims(log, ["seq"])).collect()
     assert {(r.id, r.gender, r.birthday) for r in users} == {("7", "M", "2000-01-02"), ("8", "F", "2001-01-01")}
+
+
+def test_key_and_fields_come_from_one_parse_of_the_image(spark):
+    values = [change("insert", "t", id=7, create_time="2024-01-01", extra={"id": 1}), change("update", "t", extra=None, create_time=None)]
+    facts = cdc.fact_records(cdc.changes(feed(spark, *values)), table_names(spark, ["t"]), key="id", fields=("create_time",))
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("json_tuple(") == 1 and "get_json_object" not in plan
+    assert {(r.topic, r.key, r.create_time) for r in facts.collect()} == {("DWD_T_I", "7", "2024-01-01"), ("DWD_T_U", None, None)}
