@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import cdc, dau, keyed, logs, orders
 from millrace.operators.dims import with_users
 from millrace.plans import batch
+from millrace.schemas import ORDER_INFO
 from millrace.session import settings
 from millrace.sources import tables
 from millrace.sources.tables import table_names
@@ -216,3 +217,10 @@ def test_route_and_row_functions_agree(spark):
 def test_row_counts(spark):
     counts = keyed.row_counts(spark.range(5), spark.range(3))
     assert {tuple(r) for r in counts.collect()} == {("before", 5), ("after", 3)}
+
+
+def test_each_number_of_a_record_is_read_once(spark):
+    # A cast in the plan is one evaluation: the verdict and the typed field share it.
+    whole = batch.order_header_bind(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    wholes = sum(f.dataType.simpleString() == "bigint" for f in ORDER_INFO.fields)
+    assert whole.count("as decimal(38,9)") == wholes
