@@ -44,6 +44,8 @@ NO_EVIDENCE = math.log(0.1 / 0.9)
 ANY = ""
 PREFIXES = (4, 5, 6)
 SMALLEST_RUN, WINDOW = 4, 24
+#: Runs are of tokens of one character, and so many of them in a row at least.
+SINGLE, SPACED = (1).__eq__, b"\1" * SMALLEST_RUN
 
 TOKEN = re.compile(r"[^\x00-\x20]+")
 WORD = re.compile(r"[^\W_]+")
@@ -133,6 +135,8 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs
         self.known: dict[str, list[str]] = {}
+        self.hits: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.weights: dict[str, float] | None = None
 
     def words(self, token: str) -> list[str]:
         """The words of a token as it stands, and as restored if it looks disguised."""
@@ -140,21 +144,50 @@ class Restorer:
         if found is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            found = WORD.findall(token)
-            inner = token.strip(TRIM)
-            if DISGUISED.search(inner):
-                for form in {inner, inner.rstrip("!")}:
-                    found = found + WORD.findall(restore(form, self.costs))
-            self.known[token] = found
+            found = self.known[token] = self._words(token)
         return found
 
+    def _words(self, token: str) -> list[str]:
+        found = WORD.findall(token)
+        inner = token.strip(TRIM)
+        if DISGUISED.search(inner):
+            for form in {inner, inner.rstrip("!")}:
+                found = found + WORD.findall(restore(form, self.costs))
+        return found
+
+    def evidence(self, text: str, weights: dict[str, float]) -> tuple[dict[str, float], set[str]]:
+        """The words of a text that have a weight, each with the most of it and its beginnings, and the stretches.
+
+        A token is looked through once: most have no such word, and share one empty tuple.
+        """
+        if self.weights is not weights:
+            self.weights, self.hits = weights, {}
+        elif len(self.hits) > 300_000:
+            self.hits.clear()
+        tokens = TOKEN.findall(text.lower())
+        hits, found = self.hits, {}
+        for token in set(tokens):
+            hit = hits.get(token)
+            if hit is None:
+                by_word = ((w, strongest_of(w, weights)) for w in self._words(token))
+                hit = hits[token] = tuple((w, best) for w, best in by_word if best)
+            if hit:
+                found.update(hit)
+        return found, self._stretches(tokens)
+
     def document(self, text: str) -> tuple[set[str], set[str]]:
         """Its words, restored ones too, and the stretches of its spaced-out runs."""
         tokens = TOKEN.findall(text.lower())
         out: set[str] = set()
         for token in set(tokens):
             out.update(self.words(token))
+        return out, self._stretches(tokens)
+
+    def _stretches(self, tokens: list[str]) -> set[str]:
+        """All stretches of the restored letters of spaced-out runs."""
         stretches: set[str] = set()
+        if SPACED not in bytes(map(SINGLE, map(len, tokens))):
+            return stretches
         run: list[str] = []
         for token in [*tokens, ""]:
             if len(token) == 1 and (token.isalpha() or token in LEET) or run and token and token in SEPARATORS:
@@ -166,7 +199,7 @@ class Restorer:
                     letters = restore(joined, self.costs)
                     stretches.update(letters[i:i + n] for n in range(SMALLEST_RUN, WINDOW + 1) for i in range(len(letters) - n + 1))
             run = []
-        return out, stretches
+        return stretches
 
 
 def features(words: set[str]) -> set[str]:
@@ -246,14 +279,15 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[float,
 SHARES = (1.0, 0.5, 0.25)
 
 
+def strongest_of(word: str, weights: dict[str, float]) -> float:
+    """The most weight of a word and its beginnings, 0 if they have none."""
+    return max((weights.get(f, 0.0) for f in (word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n))), default=0.0)
+
+
 def strongest(text: str, restorer: Restorer, weights: dict[str, float]) -> list[float]:
     """The weights of a text's strongest features."""
-    words, stretches = restorer.document(text)
-    by_word: list[float] = []
-    for word in words:
-        best = max((weights.get(f, 0.0) for f in (word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n))), default=0.0)
-        if best:
-            by_word.append(best)
+    words, stretches = restorer.evidence(text, weights)
+    by_word = list(words.values())
     by_word += [best for s in stretches if (best := max(weights.get(s, 0.0), weights.get(s + "*", 0.0) if len(s) in PREFIXES else 0.0))]
     return sorted(by_word, reverse=True)[:len(SHARES)]
 

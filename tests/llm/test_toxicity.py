@@ -123,3 +123,15 @@ def test_no_evidence_is_not_toxic_under_a_toxic_half(spark, fitted):
         scores = {r["doc_id"]: r["score"] for r in toxicity.score(rows, costs, prior, weights).collect()}
         assert all(scores[i] < 0.3 for i in (1, 2, 3))
         assert not weights or scores[4] >= 0.3
+
+
+def test_a_token_is_looked_through_once_for_all_texts(monkeypatch):
+    seen = []
+    one = toxicity.strongest_of
+    monkeypatch.setattr(toxicity, "strongest_of", lambda word, weights: seen.append(word) or one(word, weights))
+    weights = {"bad": 4.0, "wors*": 3.0}
+    restorer = toxicity.Restorer(np.ones((toxicity.SIGNS,) * 3))
+    assert [toxicity.strongest(t, restorer, weights) for t in ("a bad-worse one", "one bad-worse a bad", "a one", "")] == [
+        [4.0, 3.0], [4.0, 3.0], [], []]
+    assert sorted(seen) == sorted(["a", "bad", "worse", "one", "bad", *toxicity.WORD.findall(toxicity.restore("bad-worse", restorer.costs))])
+    assert toxicity.strongest("a one", restorer, {"one": 5.0}) == [5.0]
