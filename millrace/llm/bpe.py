@@ -193,7 +193,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
         for batch in row_slices(batches, SLICE_ROWS, "text", SLICE_BYTES):
-            ids, counts = bpe.cache.encode(batch.column("text").to_pylist())
+            ids, counts = bpe.cache.encode(batch.column("text"))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["key", "ids"])

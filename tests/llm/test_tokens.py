@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from millrace.llm import bpe, simple8b
+from millrace.llm.pieces import PieceCache
 from millrace.llm.queries import END_ID, VOCABULARY
 
 PATH = public_tokenizers.path(VOCABULARY)
@@ -115,3 +117,19 @@ def test_empty_table(spark, tmp_path):
     assert bpe.digests(bpe.decode(bpe.encode(empty, PATH), PATH)).count() == 0
     simple8b.write_shards(empty, str(tmp_path / "none"), PATH, END_ID)
     assert simple8b.checksums(simple8b.read_shards(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_columns_are_encoded_as_they_are_and_words_outlive_pieces():
+    met = []
+
+    def encode_words(words):
+        met.extend(words)
+        return np.array([len(w) for w in words], np.int32), np.ones(len(words), np.int64)
+
+    cache = PieceCache(encode_words, lambda piece: np.zeros(1, np.int32), limit=4)
+    column = pa.array([b"skipped", b" one  three\n", None, b"", b"\t", b"three. one.", b"skipped"], pa.binary()).slice(1, 5)
+    ids, counts = cache.encode(column)
+    assert ids.tolist() == [3, 5, 5, 1, 3, 1] and counts.tolist() == [2, 0, 0, 0, 4]
+    ids, counts = cache.encode([b"one.one", None])
+    assert ids.tolist() == [3, 1, 3] and counts.tolist() == [3, 0]
+    assert len(cache.pieces) < 4 and sorted(met) == [".", "one", "three"]
