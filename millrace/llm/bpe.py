@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import row_slices, utf8
+from millrace.llm.common import release, row_slices, utf8
 from millrace.llm.pieces import SPECIAL, PieceCache, load_tokenizer
 
 NONE = np.int32(2**31 - 1)
@@ -198,6 +198,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["key", "ids"])
         bpe.cache.clear()  # the worker may serve other stages next
+        release()
 
     source = docs.select(docs[key].alias("key"), utf8(docs, text).alias("text"))
     return source.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)

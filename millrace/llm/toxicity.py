@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import row_slices, stored, utf8
+from millrace.llm.common import release, row_slices, stored, utf8
 
 # What a sign may stand for, and signs that may only separate.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -311,6 +311,9 @@ def score(docs: DataFrame, costs: np.ndarray, prior: float, weights: dict[str, f
         for batch in row_slices(batches, 1_000, "text", 4_000_000):
             scores = [score_text(t or "", restorer, prior, weights) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "score"])
+            del scores, batch
+        del restorer
+        release()
 
     return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, f"{schema}, score double")
 

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import bpe, simple8b
@@ -133,3 +134,29 @@ def test_columns_are_encoded_as_they_are_and_words_outlive_pieces():
     ids, counts = cache.encode([b"one.one", None])
     assert ids.tolist() == [3, 1, 3] and counts.tolist() == [3, 0]
     assert len(cache.pieces) < 4 and sorted(met) == [".", "one", "three"]
+
+
+def test_a_worker_gives_back_its_memory_at_the_end_of_a_task(monkeypatch, spark):
+    released = []
+    monkeypatch.setattr(bpe, "release", lambda: released.append(len(bpe.loaded(PATH).cache.pieces)))
+
+    class Docs:  # runs the task's function in this process
+        schema = spark.createDataFrame([], "doc_id bigint, text string").schema
+        columns = ["doc_id", "text"]
+
+        def __getitem__(self, name):
+            return F.col(name)
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"some text"])], ["key", "text"])
+            self.out = list(run(iter([batch])))
+            return self
+
+        def withColumnRenamed(self, *_):
+            return self
+
+    assert bpe.encode(Docs(), PATH).out[0].num_rows == 1
+    assert released == [0]
