@@ -27,6 +27,8 @@ from millrace.llm.pieces import SPECIAL, PieceCache, load_tokenizer
 
 NONE = np.int32(2**31 - 1)
 SLICE_ROWS, SLICE_BYTES = 1_000, 4_000_000
+#: Rows whose tokens are spread out at once, an object each, beside the worker that encodes.
+DECODED_ROWS = 200
 
 
 def byte_symbols() -> list[str]:
@@ -82,10 +84,10 @@ class PairIndexBpe:
         ends = np.cumsum(lens)
         sym = self.inner[chars]
         sym[ends - 1] = self.final[chars[ends - 1]]
-        word = np.repeat(np.arange(len(raw)), lens)
-        nxt = np.arange(1, n + 1)
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), lens)
+        nxt = np.arange(1, n + 1, dtype=np.int32)
         nxt[ends - 1] = -1
-        prv = np.arange(-1, n - 1)
+        prv = np.arange(-1, n - 1, dtype=np.int32)
         prv[ends - lens] = -1
         alive = np.ones(n, bool)
         rank = np.full(n, NONE, np.int32)
@@ -214,14 +216,17 @@ def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary_tokens(vocabulary)
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for start in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(start, DECODED_ROWS)
                 lists = part.column("ids")
                 flat = tokens[lists.flatten().to_numpy(zero_copy_only=False)].tolist()
                 ends = np.cumsum([n or 0 for n in pa.compute.list_value_length(lists).to_pylist()]).tolist()
                 texts = [" ".join(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), lists, pa.array(texts, pa.string())], ["key", "ids", "text"])
+                del flat, texts, lists, part
+            del batch
+        release()
 
     source = encoded.select(encoded[key].alias("key"), "ids")
     return source.mapInArrow(run, f"key {kind}, ids array<int>, text string").withColumnRenamed("key", key)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import row_slices, stored, utf8
+from millrace.llm.common import release, row_slices, split_words, stored, utf8
 from millrace.llm.components import components
 
 WIDTH = 5
@@ -66,38 +66,29 @@ def band_parts(band: int, percent: int = PERCENT) -> int:
     return 0
 
 
-class Shingler:
-    """Distinct shingles of texts as sorted 64-bit hashes."""
-
-    def __init__(self):
-        self.words: dict[bytes, int] = {}
-
-    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = [t.lower().split() if t else [] for t in texts]  # of bytes: A-Z alone, and the six spaces alone
-        if len(self.words) > 500_000:
-            self.words.clear()
-        known = self.words
-        every = [w for words in split for w in words]
-        for w in set(every) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, every), np.uint64, len(every))
-        out, at = [], 0
-        rolled = np.zeros(max(len(h) - WIDTH + 1, 0), np.uint64)
-        for j in range(WIDTH):
-            rolled = mixed(rolled * M1 + h[j:len(h) - WIDTH + 1 + j] + np.uint64(j + 1))
-        for words in split:
-            n = len(words)
-            if n >= WIDTH:
-                out.append(np.unique(rolled[at:at + n - WIDTH + 1]))
-            elif n:
-                whole = np.array([n], np.uint64)  # in the place of a shingle: no five words hash to it but by chance
-                for x in h[at:at + n]:
-                    whole = mixed(whole * M1 + x)
-                out.append(whole)
-            else:
-                out.append(np.zeros(0, np.uint64))
-            at += n
-        return out
+def sets_of(texts: pa.Array) -> list[np.ndarray]:
+    """Distinct shingles of texts as sorted 64-bit hashes.  A word that the texts repeat is hashed once."""
+    words, lens = split_words(texts.fill_null(b""))  # of bytes: A-Z alone, and the six spaces alone
+    coded = words.dictionary_encode()
+    each = map(xxhash.xxh3_64_intdigest, coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False))
+    h = np.fromiter(each, np.uint64, len(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+    del words, coded
+    out, at = [], 0
+    rolled = np.zeros(max(len(h) - WIDTH + 1, 0), np.uint64)
+    for j in range(WIDTH):
+        rolled = mixed(rolled * M1 + h[j:j + len(rolled)] + np.uint64(j + 1))
+    for n in lens.tolist():
+        if n >= WIDTH:
+            out.append(np.unique(rolled[at:at + n - WIDTH + 1]))
+        elif n:
+            whole = np.array([n], np.uint64)  # in the place of a shingle: no five words hash to it but by chance
+            for x in h[at:at + n]:
+                whole = mixed(whole * M1 + x)
+            out.append(whole)
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += n
+    return out
 
 
 def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -155,15 +146,16 @@ def most_apart(n, m):
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, n_shingles, set_key, sigs, bits`` of every row; equal sets have equal keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in row_slices(batches, 1_000, "text", 4_000_000):
-            sets = shingler.sets(batch.column("text").to_pylist())
+            sets = sets_of(batch.column("text"))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text_key"), pa.array(map(len, sets), pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([signatures(s) for s in sets], pa.list_(pa.int64())),
                 pa.array([parity(s).tobytes() for s in sets], pa.binary()),
             ], ["doc_id", "text_key", "n_shingles", "set_key", "sigs", "bits"])
+            del sets, batch
+        release()
 
     source = texts_of(docs).withColumn("text_key", text_key())
     return source.mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, sigs array<bigint>, bits binary")
@@ -180,16 +172,18 @@ def _may_link(n: str, m: str) -> F.Column:
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose whole sets are similar enough, and whether they are: ``a, b, linked``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sets = [shingler.sets(part.column(c).to_pylist()) for c in ("text_a", "text_b")]
+                sets = [sets_of(part.column(c)) for c in ("text_a", "text_b")]
                 linked = []
                 for x, y in zip(*sets, strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                del sets, part
+            del batch
+        release()
 
     of = lambda side: texts.select(F.col("rep").alias(side), F.col("text").alias(f"text_{side}"))
     joined = pairs.join(of("b"), "b").join(of("a"), "a")
@@ -204,6 +198,8 @@ def _near(pairs: DataFrame, maps: DataFrame) -> DataFrame:
             keep = [bool(apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)[None])[0] <= most_apart(i, j))
                     for x, y, i, j in zip(left, right, n, m, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            del left, right, n, m, keep, batch
+        release()
 
     of = lambda side: maps.select(*[F.col(c).alias(f"{d}{side}") for c, d in (("rep", ""), ("n", "n_"), ("bits", "bits_"))])
     joined = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "bits_a", "bits_b", "n_a", "n_b")
@@ -227,7 +223,10 @@ def _across(members: DataFrame) -> DataFrame:
                     key, group = row[:3], []
                 group.append(row[3:])
             yield frame(out)
+            del out, batch
         yield frame(pairs_of(group))
+        del group
+        release()
 
     def frame(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         unique = sorted(set(pairs))
@@ -349,6 +348,8 @@ def _in_bitmap(texts: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.column("bit").to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(sent.value[at >> 6] >> (at & 63) & 1 == 1)).select(["doc_id", "text"])
+            del batch
+        release()
 
     return texts.where("doc_id IS NOT NULL").withColumn("bit", bit).mapInArrow(run, "doc_id bigint, text binary")
 

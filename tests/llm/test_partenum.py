@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import partenum
@@ -107,3 +108,11 @@ def test_similar_sets_share_a_signature(size):
             both = len(np.intersect1d(x, y))
             if 100 * both >= 75 * (len(x) + len(y) - both):
                 assert set(partenum.signatures(x)) & set(partenum.signatures(y))
+
+
+def test_a_slice_of_less_than_five_words():
+    texts = [b"one  two", None, b" ", b"Three"]
+    assert [len(s) for s in partenum.sets_of(pa.array(texts, pa.binary()))] == [1, 0, 0, 1]
+    alone = [partenum.sets_of(pa.array([t], pa.binary()))[0].tolist() for t in texts]
+    long = partenum.sets_of(pa.array([*texts, b"a b c d e f"], pa.binary()))
+    assert [s.tolist() for s in long[:4]] == alone and len(long[4]) == 2
