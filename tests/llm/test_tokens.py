@@ -160,3 +160,17 @@ def test_a_worker_gives_back_its_memory_at_the_end_of_a_task(monkeypatch, spark)
 
     assert bpe.encode(Docs(), PATH).out[0].num_rows == 1
     assert released == [0]
+
+
+def test_a_full_cache_keeps_what_comes_again():
+    met = []
+
+    def encode_words(words):
+        met.extend(words)
+        return np.array([len(w) for w in words], np.int32), np.ones(len(words), np.int64)
+
+    cache = PieceCache(encode_words, lambda piece: np.zeros(1, np.int32), limit=3)
+    cache.encode([b"often one", b"three seven"])
+    ids, counts = cache.encode([b"eleven often"])
+    assert ids.tolist() == [6, 5] and counts.tolist() == [2]
+    assert met.count("often") == 1 and sorted(cache.pieces) == [b"eleven", b"often"]
