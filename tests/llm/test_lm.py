@@ -169,6 +169,23 @@ def test_every_training_document_is_trained_on(spark, monkeypatch):
     assert sorted(bytes(t).decode() for t in met) == sorted(t for i, t in rows if i not in held)
 
 
+def test_a_large_corpus_gets_all_passes(spark, monkeypatch):
+    met, rates = [], []
+
+    def meet(part, *rest):
+        met.extend(bytes(r["text"]).decode() for r in part.collect())
+        rates.append(rest[4])
+        return rest[3]
+
+    monkeypatch.setattr(lm_score, "_round", meet)
+    texts = [f"the w{i} cat" for i in range(20)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string")
+    of, training = classes(np.ones(lm_score.vocabulary_size(PATH) + 1, np.int64), Shape()), lm_score.Training()
+    lm_score.train(docs, PATH, of, Shape(), training, 10**10)
+    assert training.passes == 5 and Counter(met) == dict.fromkeys(texts, 5)
+    assert len(rates) == 5 * training.rounds and rates == sorted(rates, reverse=True)
+
+
 def test_a_round_takes_the_mean_of_its_partitions(spark):
     of = classes(np.ones(lm_score.vocabulary_size(PATH) + 1, np.int64), Shape())
     start = Params.start(Shape(), of.bias).row(Shape())
