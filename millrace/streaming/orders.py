@@ -11,12 +11,14 @@ from millrace.functions.json import record_to_json
 from millrace.operators.orders import join_lines_on, salted, wide_columns
 from millrace.schemas import ORDER_DETAIL
 from millrace.streaming import arrival_cache
-from millrace.streaming.arrival_cache import ArrivalCache
+from millrace.streaming.arrival_cache import ArrivalFrames
 
 TOLERANCE = "24 hours"
 #: Copies of a header in the state: each one divides the load of a hot order, and is
 #: paid for by all orders.
 SALTS = 4
+#: Neighbouring order ids that share a group of the cache: orders that arrive together share its cost.
+GROUP = 256
 _DAY_MS = 24 * 3600 * 1000
 
 # Python workers get the processor itself and need no installed package.
@@ -53,7 +55,8 @@ def join_cached(
     """ST-5, JN-7, JN-8, AGG-2: the same join by cache, expiring a day after the last write.
 
     A line is cached only while its header is missing, and stays cached after it
-    is matched, so a header sent again is joined to it again.  Needs the RocksDB
+    is matched, so a header sent again is joined to it again.  Orders are cached in
+    groups of ``GROUP`` neighbouring ids.  Needs the RocksDB
     state store.  A query with an expiry schedules empty batches for ever: stop
     it with :func:`millrace.streaming.jobs.drain`.
     """
@@ -72,11 +75,13 @@ def join_cached(
         F.col("id").cast("string").alias("line_id"),
         record_to_json(*ORDER_DETAIL.fieldNames(), arrived).alias("record"),
     )
+    group = F.concat_ws("/", F.expr(f"order_key div {GROUP}").cast("string"), F.col("salt").cast("string"))
     pairs = (
         left.unionByName(right)
-        .groupBy("order_key", "salt")
-        .transformWithState(
-            ArrivalCache(ttl_ms),
+        .select(group.alias("orders"), F.col("order_key").cast("string").alias("order_key"), "line_id", "record")
+        .groupBy("orders")
+        .transformWithStateInPandas(
+            ArrivalFrames(ttl_ms),
             outputStructType="header string, line string",
             outputMode="Append",
             timeMode="ProcessingTime" if ttl_ms else "None",

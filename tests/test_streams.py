@@ -400,3 +400,65 @@ def test_cached_join_takes_plain_rows_in_chunks(monkeypatch):
     assert [r.line for r in pairs] == ["l2", "l3", "l4"]
     assert list(cache.handleInputRows((1, 0), rows(("5", "l5"), (None, "h2")), None)) == [
         Row(header="h2", line=n) for n in ("l1", "l2", "l5")]
+
+
+class Maps:
+    """Map states of one group, with the requests that change them counted."""
+
+    def __init__(self):
+        self.made, self.requests = {}, []
+
+    def getMapState(self, name, *_):
+        def update(key, value):
+            self.requests.append(name)
+            state[key] = value
+
+        state = self.made.setdefault(name, {})
+        return type("State", (), {"iterator": lambda _: iter(list(state.items())), "updateValue": lambda _, *a: update(*a)})()
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def arrivals(*rows):
+    return (Row(order_key=order, line_id=line_id, record=record) for order, line_id, record in rows)
+
+
+def test_orders_of_a_group_share_its_cost_and_nothing_else():
+    maps = Maps()
+    cache = ArrivalCache(None)
+    cache.init(maps)
+    headers = [(order, None, f"h{order}") for order in range(160)]
+    early = [(order, f"{order}", f"l{order}") for order in (7, 8, 500)]
+    assert list(cache.handleInputRows(("0",), arrivals(*early), None)) == []
+    got = list(cache.handleInputRows(("0",), arrivals(*headers, (7, "x", "lx"), (159, "y", "ly"), (None, "z", "lz")), None))
+    assert sorted(got) == [("h159", "ly"), ("h7", "l7"), ("h7", "lx"), ("h8", "l8")]
+    # A request for each page of headers, not for each header.
+    assert maps.requests.count("headers") == 10 and maps.requests.count("lines") == 4
+    got = list(cache.handleInputRows(("0",), arrivals((3, "a", "la"), (500, None, "h500"), (7, None, "new"), (8, "b", "lb")), None))
+    assert sorted(got) == [("h3", "la"), ("h500", "l500"), ("h8", "lb"), ("new", "l7")]
+
+
+def test_a_header_expires_a_day_after_its_own_last_write():
+    cache = ArrivalCache(DAY)
+    cache.init(Maps())
+    assert list(cache.handleInputRows(("0",), arrivals((1, None, "h1"), (2, None, "h2"), (3, None, "h3")), At(BASE))) == []
+    assert list(cache.handleInputRows(("0",), arrivals((2, None, "again")), At(BASE + 20 * HOUR))) == []
+    lines = [(order, f"{order}", f"l{order}") for order in (1, 2, 3)]
+    late = list(cache.handleInputRows(("0",), arrivals(*lines), At(BASE + 23 * HOUR)))
+    assert sorted(late) == [("again", "l2"), ("h1", "l1"), ("h3", "l3")]
+    assert list(cache.handleInputRows(("0",), arrivals(*lines), At(BASE + 25 * HOUR))) == [("again", "l2")]
+
+
+def test_cached_join_over_many_orders_and_batches(spark, drop_files, tmp_path):
+    ids = [*range(1, 40), 2**53 + 1, 2**53 + 2]
+    headers = drop_files("h", [header(i, total_amount=float(i % 97)) for i in ids[::2]], [], [header(i, total_amount=float(i % 97)) for i in ids[1::2]])
+    lines = drop_files("l", [line(10 * n, i) for n, i in enumerate(ids)], [line(10 * n + 1, i) for n, i in enumerate(ids)])
+    table = run_orders(spark, headers, lines, tmp_path, "many", cached=True, salts=2)
+    got = sorted((r.order_id, r.detail_id, r.total_amount) for r in table.read(spark).collect())
+    assert got == sorted((i, 10 * n + k, float(i % 97)) for n, i in enumerate(ids) for k in (0, 1))
