@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from millrace.schemas import record
+from millrace.sinks import upserts
 from millrace.sinks.topics import TopicSink, batch_to_topics, kafka_sink_options
 from millrace.sinks.upserts import KeyedTable, run_version
 from millrace.sources.streams import TopicSource, kafka_options, read_topic
@@ -172,3 +174,41 @@ def test_small_log_does_not_shuffle_the_base(spark, table):
     # Only the log is gathered by key; the base meets its keys in a broadcast.
     assert text.count("BroadcastHashJoin") == 1 and "LeftAnti" in text and "SortMergeJoin" not in text
     assert read.count() == 100 and read.where("id = 'k5'").first().v == -5
+
+
+NUMBERED = "dt string, id string, v int, n int"
+
+
+def test_rows_of_a_batch_are_chosen_where_they_are_written(spark, tmp_path, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+
+    def noted(writer, *args, **options):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        return write(writer, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    monkeypatch.setattr(upserts, "PIECE_ROWS", 20)
+    table = KeyedTable(str(tmp_path / "p"), SCHEMA, keys=("id",), day="dt", seq="n")
+    values = [(f"d{i % 2}", f"k{i % 45}", i, i) for i in range(150)]
+    values += [(None, "n", 1, 1), (None, "n", 2, 2), ("d0", None, 3, 3), ("d0", None, 4, None), ("d1", "k1", -1, None)]
+    df = spark.createDataFrame(values, NUMBERED).repartition(3).persist()
+    pieces = table.pieces(df)
+    assert pieces == 4
+    table.upsert(df, 0, pieces)
+    assert plans[-1].count("hashpartitioning") == 1 and "Window" in plans[-1]
+    newest = {(d, k): v for d, k, v, n in sorted(values, key=lambda r: -1 if r[3] is None else r[3])}
+    assert content(spark, table) == {(*key, v) for key, v in newest.items()}
+    assert table.read(spark).count() == len(newest)
+    for day in ("d0", "d1"):
+        assert 1 <= len(list((tmp_path / "p" / "log" / "version=0" / f"dt={day}").glob("*.parquet"))) <= pieces
+    assert table.pieces(df.where("false")) == 1
+
+
+def test_a_single_batch_is_read_without_a_shuffle(spark, tmp_path):
+    table = KeyedTable(str(tmp_path / "one"), SCHEMA, keys=("id",), day="dt", seq="n")
+    table.upsert(spark.createDataFrame([("d1", "a", 1, 1), ("d1", "a", 2, 2), ("d2", "a", 3, 1)], NUMBERED), 0)
+    assert "Exchange" not in table.read(spark)._jdf.queryExecution().executedPlan().toString()
+    assert content(spark, table) == {("d1", "a", 2), ("d2", "a", 3)}
+    assert table.read(spark).count() == 2
+    table.upsert(spark.createDataFrame([("d1", "a", 5, 1)], NUMBERED), 1)
+    assert content(spark, table) == {("d1", "a", 5), ("d2", "a", 3)}
